@@ -57,3 +57,20 @@ def rows_of(df: DataFrame, bound: int) -> list:
     if len(got) > bound:
         raise ValueError(f"more than {bound} rows: this table was expected to be small")
     return got
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once a session, so that none needs it installed."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_corvane_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="corvane-package-"))
+    atexit.register(shutil.rmtree, out, True)
+    ignore = shutil.ignore_patterns("__pycache__", "*.pyc")
+    shutil.copytree(home, out / "tree" / home.name, ignore=ignore)
+    sc.addPyFile(shutil.make_archive(str(out / home.name), "zip", out / "tree"))
+    sc._corvane_shipped = True
