@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corvane.runtime import keep
+
 #: Letters of other scripts and the Latin letters they look like, by script.
 LOOK_ALIKES = {
     # Greek
@@ -47,6 +49,8 @@ LOOK_ALIKES = {
 }
 #: Compatibility mappings a reader can see are not applied.
 VISIBLE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
+#: Rows of one stored form that are paired one by one.
+EXPAND = 64
 IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}᠎﻿]")
 SPACE = regex.compile(r"[\p{Zs}\t\v\f\x85]")
 
@@ -141,12 +145,14 @@ def look(canon: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(canon, "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values())), r" +", " "))
 
 
-def same_look(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+def same_look(rows: DataFrame, key: str, text: str = "text", expand: int = EXPAND) -> DataFrame:
     """Pairs of rows whose texts differ as stored but look the same: (key_a, key_b), the smaller string first.
 
     Rows with a null key, or a text without visible characters, have no partner. Groups are formed on a 128-bit hash
-    of the look, so no text is shuffled; rows with the same stored text are gathered once per stored form, and
-    each pair joins two *different* forms. A group with a single form leaves before anything is joined.
+    of the look, so no text is shuffled, and a group with a single stored form leaves before anything is joined. Each
+    pair joins two *different* forms. Of a form with more than ``expand`` rows, only the smallest key meets all
+    rows of the other forms, and each further row meets the smallest key of each other form: every row keeps its
+    link to every other form, without the product of two large groups.
     """
     looks = (
         rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("stored"))
@@ -155,13 +161,12 @@ def same_look(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         .where(F.regexp_replace("seen", r"(?U)[\s\p{C}\p{M}]", "") != "")
         .select("key", F.struct(F.xxhash64("seen"), F.xxhash64(F.reverse("seen"))).alias("g"), F.xxhash64("stored", F.reverse("stored")).alias("form"))
     )
-    from corvane.runtime import keep
-
     looks = keep(looks, "looks")
     several = looks.groupBy("g").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("g")
+    form = Window.partitionBy("g", "form")
     part = looks.join(several, "g", "left_semi").distinct()
-    a, b = part.alias("a"), part.alias("b")
-    return (
-        a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.form") != F.col("b.form")) & (F.col("a.key") < F.col("b.key")))
-        .select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
-    )
+    part = part.select("g", "form", "key", (F.min("key").over(form) == F.col("key")).alias("first"), (F.count(F.lit(1)).over(form) <= expand).alias("small"))
+    a, b = part.where("small or first").alias("a"), part.alias("b")
+    other = (F.col("a.g") == F.col("b.g")) & (F.col("a.form") != F.col("b.form"))
+    met = a.join(b, other & (F.col("b.small") | F.col("b.first") | F.col("a.first"))).select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))
+    return met.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).where("key_a <> key_b").distinct()

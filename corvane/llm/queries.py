@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, encoding, mixing, terms, topn
+from corvane.llm import canonical, encoding, mixing, neardup, terms, topn
 from corvane.sources.tables import table
 
 N_BEST = 10
 
 
+def p1_groups(spark, d):
+    """Every document of 60 words or more, its class of equal word bags, and the number of its links to other classes."""
+    members, pairs = neardup.near_duplicates(table(spark, d, "documents"))
+    ends = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(ends, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p1_found(spark, d):
+    return neardup.document_pairs(*neardup.near_duplicates(table(spark, d, "documents")))
+
+
 def p2_topn(spark, d):
     """The ten best documents of each run and judged query, with score and rank."""
     return topn.top_n(table(spark, d, "search_hits"), ["run_label", "query_id"], "doc_id", "score", N_BEST, table(spark, d, "qrels").select("query_id"))
@@ -67,7 +78,7 @@ def p8_found(spark, d):
     return p8_shares(spark, d).where("short").select("mix_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order)}
 
 
 def sql() -> dict[str, str]:
