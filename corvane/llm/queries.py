@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, encoding, mixing, neardup, terms, topn
+from corvane.llm import canonical, encoding, mixing, neardup, subjects, terms, topn
 from corvane.sources.tables import table
 
 N_BEST = 10
@@ -78,7 +78,21 @@ def p8_found(spark, d):
     return p8_shares(spark, d).where("short").select("mix_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order)}
+def _areas(spark, d):
+    return table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")
+
+
+def p9_found(spark, d):
+    return subjects.subject_areas(*_areas(spark, d))
+
+
+def p9_composition(spark, d):
+    """Documents of each subject area, and the sum of their shares."""
+    shares = subjects.subject_mixtures(*_areas(spark, d))[0]
+    return shares.groupBy("subject").agg(F.sum(F.when(F.col("share") >= subjects.SHARE, 1).otherwise(0)).alias("documents"), F.sum("share").alias("weight"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p9_found, p9_composition)}
 
 
 def sql() -> dict[str, str]:
