@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import canonical, encoding, mixing, neardup, subjects, terms, topn
+from corvane.llm import canonical, clusters, encoding, mixing, neardup, subjects, terms, topn
+from corvane.runtime import keep
 from corvane.sources.tables import table
 
 N_BEST = 10
@@ -50,6 +51,20 @@ def p4_found(spark, d):
     return docs.unionByName(canonical.same_look(table(spark, d, "queries"), "query_id").select(F.lit("queries").alias("table_name"), "key_a", "key_b"))
 
 
+def p6_clusters(spark, d):
+    """Every cluster with its size, top terms and typical members."""
+    docs = table(spark, d, "documents")
+    return clusters.describe_clusters(keep(clusters.thing_clusters(docs), "members"), docs)
+
+
+def p6_members(spark, d):
+    return clusters.thing_clusters(table(spark, d, "documents"))
+
+
+def p6_found(spark, d):
+    return clusters.cluster_pairs(keep(clusters.thing_clusters(table(spark, d, "documents")), "members"))
+
+
 def p7_ids(spark, d):
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -61,7 +76,7 @@ def p7_round_trip(spark, d):
 
 
 def _mix(spark, d):
-    return table(spark, d, "mix_targets"), encoding.keep(encoding.token_counts(table(spark, d, "documents")), "sizes")
+    return table(spark, d, "mix_targets"), keep(encoding.token_counts(table(spark, d, "documents")), "sizes")
 
 
 def p8_shares(spark, d):
@@ -92,7 +107,7 @@ def p9_composition(spark, d):
     return shares.groupBy("subject").agg(F.sum(F.when(F.col("share") >= subjects.SHARE, 1).otherwise(0)).alias("documents"), F.sum("share").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p6_found, p6_members, p6_clusters, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p9_found, p9_composition)}
 
 
 def sql() -> dict[str, str]:

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import words
 from corvane.runtime import rows_of
 
 
+def record_terms(rows: DataFrame, keep: list[str], found: Column) -> DataFrame:
+    """(keep..., term, tf): the terms of each record's token array with their counts in the record.
+
+    The counts are the run lengths of the sorted tokens, so no row leaves its record and nothing is shuffled.
+    """
+    rows = rows.select(*keep, F.array_sort(found).alias("_t")).where(F.size("_t") > 0)
+    starts = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (F.get("_t", i - 1) != t), i).otherwise(-1)), lambda i: i >= 0)
+    rows = rows.select(*keep, "_t", F.size("_t").alias("_n"), starts.alias("_s"))
+    return rows.select(
+        *keep,
+        F.inline(F.transform("_s", lambda s, k: F.struct(F.get("_t", s).alias("term"), (F.coalesce(F.get("_s", k + 1), F.col("_n")) - s).cast("long").alias("tf")))),
+    )
+
+
 def term_frequencies(rows: DataFrame, text: str = "text") -> DataFrame:
     """(term, cf, df): occurrences of each term and the number of records that hold it.
 
-    The counts of one record are the run lengths of its sorted tokens, so both sums need no shuffle by record.
-
     Null and empty texts hold no term. Repeated rows count as often as they are there. The only shuffle moves one
     partially summed row per term and map task; a term held by every record arrives as one row per task.
     """
-    tokens = rows.select(F.array_sort(words(F.col(text))).alias("found")).where(F.size("found") > 0)
-    n = F.size("found")
-    starts = tokens.select(
-        "found",
-        F.filter(F.transform("found", lambda t, i: F.when((i == 0) | (F.get("found", i - 1) != t), i).otherwise(-1)), lambda i: i >= 0).alias("starts"),
-    )
-    counts = starts.select(
-        F.inline(F.transform("starts", lambda s, k: F.struct(F.get("found", s).alias("term"), (F.coalesce(F.get("starts", k + 1), n) - s).cast("long").alias("tf"))))
-    )
-    return counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    return record_terms(rows, [], words(F.col(text))).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
 def excluded_terms(rows: DataFrame, params: DataFrame, text: str = "text") -> DataFrame:
