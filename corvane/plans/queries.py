@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corvane.operators import references
+from corvane.plans import corpus, ranking
 from corvane.sources.tables import table
 
 REFERENCE_TABLES = ("documents", "queries", "qrels", "subject_labels", "deleted_keys")
@@ -21,10 +22,15 @@ def p5_report(spark, d):
     return references.orphan_report(_broken(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_report)}
+OWN = {f.__name__: f for f in (p5_found, p5_report)}
+QUERIES = OWN | corpus.QUERIES | ranking.QUERIES
 
 
 def sql() -> dict[str, str]:
+    return _own_sql() | corpus.sql() | ranking.sql()
+
+
+def _own_sql() -> dict[str, str]:
     def part(name, column, of, time, arrival):
         same = f"t.dataset = r.dataset AND t.{column} = r.{column}"
         return f"""SELECT '{name}' AS table_name, r.dataset, r.seq, '{column}' AS ref_column, r.{time} AS moment,
