@@ -126,6 +126,6 @@ STOP_WORDS = tuple(
 
 def content_tokens(text: Column, stop_words=STOP_WORDS) -> Column:
     """Tokens of the cluster and topic models: raw text in lower case, words of two or more characters, no stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
     stops = F.array(*[F.lit(w) for w in stop_words])
     return F.coalesce(F.filter(found, lambda t: ~F.array_contains(stops, t)), F.array().cast("array<string>"))

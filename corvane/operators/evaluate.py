@@ -86,8 +86,8 @@ def evaluate(run: DataFrame, judged: DataFrame, gold: DataFrame, metrics=METRICS
 
 
 def report(per_query: DataFrame) -> DataFrame:
-    """(run_label, metric, value): the mean over gold queries."""
-    return per_query.groupBy("run_label", "metric").agg(F.round(F.avg("value"), 6).alias("value"))
+    """(run_label, metric, value): the mean over gold queries, to nine places."""
+    return per_query.groupBy("run_label", "metric").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
 def best_per_metric(rep: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def best_per_metric(rep: DataFrame) -> DataFrame:
 def report_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(run_label, metric, before, after, delta, direction) of two reports; within 1e-6 is ``same``."""
     both = before.select("run_label", "metric", F.col("value").alias("before")).join(after.select("run_label", "metric", F.col("value").alias("after")), ["run_label", "metric"])
-    delta = F.round(F.col("after") - F.col("before"), 6)
+    delta = F.round(F.col("after") - F.col("before"), 9)
     return both.withColumn("delta", delta).withColumn("direction", F.when(F.col("delta") > SAME, "up").when(F.col("delta") < -SAME, "down").otherwise("same"))
 
 

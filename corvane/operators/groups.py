@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, Word2Vec
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corvane.functions.records import record_terms
 from corvane.functions.text import content_tokens
@@ -114,8 +119,6 @@ def fit_clusters(docs: DataFrame, k: int = 8, features: int = FEATURES, dims: in
     vocab = vocabulary(part, features=features).collect() or vocabulary(part, 1, 1.0, features).collect()
     terms = sorted(r.term for r in vocab)
     idf = {r.term: r.df for r in vocab}
-    import math
-
     weight = [math.log((1 + n) / (1 + idf[t])) + 1 for t in terms]
     counted = CountVectorizerModel.from_vocabulary(terms, "tokens", "counts")
     scaled = _scale(counted.transform(tokens), weight)
@@ -133,18 +136,11 @@ def fit_clusters(docs: DataFrame, k: int = 8, features: int = FEATURES, dims: in
 
 
 def _scale(df: DataFrame, weight: list[float]) -> DataFrame:
-    from pyspark.ml.feature import ElementwiseProduct
-    from pyspark.ml.linalg import Vectors
-
     product = ElementwiseProduct(scalingVec=Vectors.dense(weight), inputCol="counts", outputCol="weighted")
     return Normalizer(inputCol="weighted", outputCol="tfidf").transform(product.transform(df))
 
 
 def _projector(v):
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, DoubleType
-
     @F.pandas_udf(ArrayType(DoubleType()))
     def times(indices: pd.Series, values: pd.Series) -> pd.Series:
         return pd.Series([np.asarray(x) @ v[np.asarray(i, int)] if len(i) else np.zeros(v.shape[1]) for i, x in zip(indices, values)])

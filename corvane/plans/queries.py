@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corvane.operators import references
-from corvane.plans import corpus, ranking
+from corvane.plans import corpus, evaluation, models, ranking
 from corvane.sources.tables import table
 
 REFERENCE_TABLES = ("documents", "queries", "qrels", "subject_labels", "deleted_keys")
@@ -23,11 +23,11 @@ def p5_report(spark, d):
 
 
 OWN = {f.__name__: f for f in (p5_found, p5_report)}
-QUERIES = OWN | corpus.QUERIES | ranking.QUERIES
+QUERIES = OWN | corpus.QUERIES | ranking.QUERIES | evaluation.QUERIES | models.QUERIES
 
 
 def sql() -> dict[str, str]:
-    return _own_sql() | corpus.sql() | ranking.sql()
+    return _own_sql() | corpus.sql() | ranking.sql() | evaluation.sql() | models.sql()
 
 
 def _own_sql() -> dict[str, str]:
