@@ -11,8 +11,6 @@ from pyspark.ml.clustering import LDA, KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -123,9 +121,7 @@ def fit_clusters(docs: DataFrame, k: int = 8, features: int = FEATURES, dims: in
     counted = CountVectorizerModel.from_vocabulary(terms, "tokens", "counts")
     scaled = _scale(counted.transform(tokens), weight)
     fit = _scale(counted.transform(part), weight)
-    matrix = RowMatrix(fit.select("tfidf").rdd.map(lambda r: OldVectors.fromML(r.tfidf)))
-    rank = max(2, min(dims, len(terms) - 1, n - 1))
-    v = matrix.computeSVD(rank, computeU=False).V.toArray()
+    v = right_singular_vectors(fit, len(terms), max(2, min(dims, len(terms) - 1, n - 1)), seed)
     space = v.tolist()
     project = _projector(v)
     normal = Normalizer(inputCol="raw", outputCol="features")
@@ -140,16 +136,51 @@ def _scale(df: DataFrame, weight: list[float]) -> DataFrame:
     return Normalizer(inputCol="weighted", outputCol="tfidf").transform(product.transform(df))
 
 
+_PARTS = "tfidf struct<indices:array<int>,values:array<double>>"
+
+
+def _sparse(df: DataFrame) -> DataFrame:
+    """``df`` with ``_p``, the indices and values of its sparse vector: only the entries that are there travel to Python."""
+    return df.withColumn("_p", F.from_json(F.to_json(F.struct("tfidf")), _PARTS)["tfidf"])
+
+
+def right_singular_vectors(fit: DataFrame, columns: int, rank: int, seed: int = 42, passes: int = 5, extra: int = 10) -> np.ndarray:
+    """The leading right singular vectors (columns x rank) of the rows' sparse vectors, by subspace iteration.
+
+    Each pass adds up, for every part of the bounded fitting sample, its product with the current subspace; what reaches the
+    driver is a matrix of columns x rank for each of at most eight parts, whatever the corpus.
+    """
+    width = min(rank + extra, columns)
+    rows = _sparse(fit).select("_p.indices", "_p.values").coalesce(8).persist()
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, width)))[0]
+
+    def product(v: np.ndarray) -> np.ndarray:
+        def add(batches):
+            total = np.zeros((columns, width))
+            for b in batches:
+                for i, x in zip(b["indices"], b["values"]):
+                    if len(i):
+                        at, x = np.asarray(i, int), np.asarray(x)
+                        total[at] += np.outer(x, x @ v[at])
+            yield pd.DataFrame({"m": [total.tobytes()]})
+
+        return sum(np.frombuffer(r.m).reshape(columns, width) for r in rows.mapInPandas(add, "m binary").collect())
+
+    for _ in range(passes):
+        basis = np.linalg.qr(product(basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ product(basis))
+    rows.unpersist()
+    found = basis @ turn[:, np.argsort(-values)[:rank]]
+    return found * np.sign(found[np.abs(found).argmax(0), np.arange(found.shape[1])])
+
+
 def _projector(v):
     @F.pandas_udf(ArrayType(DoubleType()))
     def times(indices: pd.Series, values: pd.Series) -> pd.Series:
         return pd.Series([np.asarray(x) @ v[np.asarray(i, int)] if len(i) else np.zeros(v.shape[1]) for i, x in zip(indices, values)])
 
     def project(df: DataFrame) -> DataFrame:
-        # a sparse vector's parts through its JSON form: only the entries that are there travel to Python
-        parts = F.from_json(F.to_json(F.struct("tfidf")), "tfidf struct<indices:array<int>,values:array<double>>")["tfidf"]
-        df = df.withColumn("_p", parts)
-        return df.withColumn("raw", array_to_vector(times("_p.indices", "_p.values"))).withColumn("known", F.size("_p.indices") > 0).drop("_p")
+        return _sparse(df).withColumn("raw", array_to_vector(times("_p.indices", "_p.values"))).withColumn("known", F.size("_p.indices") > 0).drop("_p")
 
     return project
 

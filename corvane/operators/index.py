@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.records import record_terms
+from corvane.runtime import spread
 
 
 @dataclass
@@ -27,7 +28,7 @@ class Index:
 
 def tokenised(docs: DataFrame, analyzer, text: str = "text") -> DataFrame:
     """(doc_id, tokens): analyse once, derive everything else from it."""
-    return docs.select("doc_id", analyzer(F.col(text)).alias("tokens"))
+    return spread(docs.select("doc_id", F.col(text).alias("_text"))).select("doc_id", analyzer(F.col("_text")).alias("tokens"))
 
 
 def build_index(tokens: DataFrame) -> Index:

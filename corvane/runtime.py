@@ -74,3 +74,14 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(home, out / "tree" / home.name, ignore=ignore)
     sc.addPyFile(shutil.make_archive(str(out / home.name), "zip", out / "tree"))
     sc._corvane_shipped = True
+
+
+#: Bytes of stored input for each core below which a scan is spread over all cores before costly work on it.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is a small scan: a single small file would keep one core busy. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
