@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corvane.runtime import keep
+from corvane.runtime import keep, spread
 
 #: Letters of other scripts and the Latin letters they look like, by script.
 LOOK_ALIKES = {
@@ -155,7 +155,7 @@ def same_look(rows: DataFrame, key: str, text: str = "text", expand: int = EXPAN
     link to every other form, without the product of two large groups.
     """
     looks = (
-        rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("stored"))
+        spread(rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("stored")))
         .where(F.col("key").isNotNull() & F.col("stored").isNotNull())
         .withColumn("seen", look(canonical(F.col("stored"))))
         .where(F.regexp_replace("seen", r"(?U)[\s\p{C}\p{M}]", "") != "")

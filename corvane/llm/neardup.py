@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import words
 from corvane.llm.canonical import canonical
-from corvane.runtime import keep
+from corvane.runtime import keep, spread
 
 MIN_WORDS, SHARE, TARGET = 60, 0.8, 0.995
 #: Tokens followed on average at a node, and levels a run is planned for.
@@ -80,7 +80,8 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_sets(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, toks) of the documents with at least ``min_words`` words; null ids are left out, they can't be paired."""
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", words(canonical(F.col("text"))).alias("w")).where(F.size("w") >= min_words)
+    docs = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
+    found = docs.select("doc_id", words(canonical(F.col("text"))).alias("w")).where(F.size("w") >= min_words)
     hashed = found.select("doc_id", F.array_sort(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
     return hashed.mapInPandas(_occurrences, "doc_id bigint, toks array<bigint>")
 

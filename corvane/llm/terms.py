@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.records import record_terms
 from corvane.functions.text import words
-from corvane.runtime import rows_of
+from corvane.runtime import rows_of, spread
 
 
 def term_frequencies(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -16,7 +16,7 @@ def term_frequencies(rows: DataFrame, text: str = "text") -> DataFrame:
     Null and empty texts hold no term. Repeated rows count as often as they are there. The only shuffle moves one
     partially summed row per term and map task; a term held by every record arrives as one row per task.
     """
-    return record_terms(rows, [], words(F.col(text))).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    return record_terms(spread(rows.select(F.col(text).alias("_text"))), [], words(F.col("_text"))).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
 def excluded_terms(rows: DataFrame, params: DataFrame, text: str = "text") -> DataFrame:
