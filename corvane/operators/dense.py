@@ -77,7 +77,7 @@ def mean_pool(members: DataFrame, key: str, vector: str = "embedding") -> DataFr
     """(key, vector): the mean of the members' vectors at length one; zeros stay zeros."""
     parts = members.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("d", "x"))
     mean = parts.groupBy(key, "d").agg(F.avg("x").alias("x"))
-    vec = mean.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select(key, F.transform("v", lambda s: s["x"]).alias("vector"))
+    vec = mean.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).select(key, F.transform("v", lambda s: s["x"]).alias("vector"))
     return vec.select(key, unit(F.col("vector")).alias("vector"))
 
 

@@ -68,7 +68,7 @@ def evaluate(run: DataFrame, judged: DataFrame, gold: DataFrame, metrics=METRICS
     got = hits.groupBy("run_label", "query_id").agg(F.max("rank").alias("depth"), *[_metric(kind, k, relevant, F.col("rank"), F.col("relevance"), gain).alias(f"m{i}") for i, (_, kind, k) in enumerate(parsed)])
     ideal_rank = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "doc_id")
     ideal = truth.withColumn("ir", F.row_number().over(ideal_rank)).withColumn("gain", gain(F.col("relevance")) / F.log2(F.col("ir") + 1.0))
-    ideal = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), F.transform(F.array_sort(F.collect_list(F.struct("ir", "gain"))), lambda x: x["gain"]).alias("gains"))
+    ideal = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), F.transform(F.sort_array(F.collect_list(F.struct("ir", "gain"))), lambda x: x["gain"]).alias("gains"))
     every = gold.select("query_id").distinct().join(run.select("run_label").distinct())
     rows = every.join(got, ["run_label", "query_id"], "left").join(ideal, "query_id", "left")
 

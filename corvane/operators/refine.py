@@ -103,13 +103,13 @@ def synonyms(corrected: DataFrame, thesaurus: DataFrame, stop_words, most: int =
 def refine(queries: DataFrame, dictionary: DataFrame, thesaurus: DataFrame | None = None, stop_words=(), edits: int = 2, protect: bool = True, most: int = 2) -> DataFrame:
     """(query_id, original, corrected, refined, suggestion, applied): corrected text, with synonyms added, and whether it differs."""
     words = correct(queries, dictionary, edits, protect)
-    line = words.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "corrected"))).alias("w"))
+    line = words.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "corrected"))).alias("w"))
     line = line.select("query_id", F.array_join(F.transform("w", lambda x: x["corrected"]), " ").alias("corrected"), F.exists("w", lambda x: x["word"] != x["corrected"]).alias("spelled"))
     out = queries.select("query_id", F.col("text").alias("original")).join(line, "query_id", "left")
     if thesaurus is None:
         out = out.withColumn("added", F.lit(""))
     else:
-        more = synonyms(words, thesaurus, stop_words, most).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "synonym"))), lambda x: x["synonym"]), " ").alias("added"))
+        more = synonyms(words, thesaurus, stop_words, most).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "synonym"))), lambda x: x["synonym"]), " ").alias("added"))
         out = out.join(more, "query_id", "left").withColumn("added", F.coalesce("added", F.lit("")))
     corrected, spelled = F.coalesce("corrected", F.lit("")), F.coalesce("spelled", F.lit(False))
     refined = F.trim(F.concat_ws(" ", corrected, F.col("added")))

@@ -62,7 +62,7 @@ def sweep_pivot(s, d):
 def eval_refined(s, d):
     """BM25 for the asked queries as they are and with their spelling corrected once."""
     index = index_of(s, d)
-    fixed = refine.correct(asked(s, d), _dictionary(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "corrected"))).alias("w"))
+    fixed = refine.correct(asked(s, d), _dictionary(s, d)).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "corrected"))).alias("w"))
     fixed = fixed.select("query_id", F.array_join(F.transform("w", lambda x: x["corrected"]), " ").alias("text"))
     plain = bm25_run(s, d, 100, index).select(F.lit("plain").alias("run_label"), "query_id", "doc_id", "score")
     again = ix.top_k(lexical.positive(lexical.bm25_scores(index, ix.query_terms(fixed, ANALYZER))), 100).select(F.lit("refined").alias("run_label"), "query_id", "doc_id", "score")

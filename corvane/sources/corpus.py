@@ -85,7 +85,7 @@ def missing_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def nested_qrels(qrels: DataFrame) -> DataFrame:
     """(query_id, judged map of doc_id to relevance): the latest position decides a repeated judgment."""
     last = qrels.where("query_id is not null and doc_id is not null").groupBy("query_id", "doc_id").agg(F.max_by("relevance", F.struct("seq", "dataset")).alias("relevance"))
-    return last.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "relevance")))).alias("judged"))
+    return last.groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("doc_id", "relevance")))).alias("judged"))
 
 
 def status(documents: DataFrame, queries: DataFrame, qrels: DataFrame, expected: DataFrame | None = None) -> DataFrame:
