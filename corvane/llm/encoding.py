@@ -86,7 +86,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     rows = _joined(texts, path, F.col("ids")).unionByName(
         texts.select("doc", F.lit(-1).alias("pos"), F.array().cast("array<int>").alias("value"))
     )
-    gathered = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("all"))
+    gathered = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("all"))
     once = F.transform("all", lambda x, i: F.when((i > 0) & (F.get("all", i - 1)["pos"] == x["pos"]), F.array().cast("array<int>")).otherwise(x["value"]))
     return gathered.select(F.col("doc.id").alias(doc_id), F.flatten(once).alias("ids"))
 
@@ -117,7 +117,7 @@ def decode_corpus(encoded: DataFrame, doc_id: str = "doc_id", path: str | None =
     )
     rows = encoded.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64("ids").alias("form")).alias("doc"), "ids")
     parts = rows.where("size(ids) > 0").select("doc", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(tokens), "id")
-    joined = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("bytes")))).alias("all"))
+    joined = parts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("bytes").alias("bytes")))).alias("all"))
     text = F.decode(F.unhex(F.array_join(F.transform("all", lambda x: x["bytes"]), "")), "UTF-8")
     return joined.select(F.col("doc.id").alias(doc_id), text.alias("text")).unionByName(
         rows.where("coalesce(size(ids), 0) <= 0").select(F.col("doc.id").alias(doc_id), F.when(F.col("ids").isNotNull(), "").alias("text"))

@@ -82,7 +82,7 @@ def word_sets(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, toks) of the documents with at least ``min_words`` words; null ids are left out, they can't be paired."""
     docs = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
     found = docs.select("doc_id", words(canonical(F.col("text"))).alias("w")).where(F.size("w") >= min_words)
-    hashed = found.select("doc_id", F.array_sort(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
+    hashed = found.select("doc_id", F.sort_array(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
     return hashed.mapInPandas(_occurrences, "doc_id bigint, toks array<bigint>")
 
 
