@@ -31,8 +31,8 @@ from corvane.runtime import keep, spread
 MIN_WORDS, SHARE, TARGET = 60, 0.8, 0.995
 #: Tokens followed on average at a node, and levels a run is planned for.
 BRANCH, DEPTH = 1.5, 3
-#: Records of a bucket that is compared at once, and further rounds for larger ones.
-BUCKET, ROUNDS = 48, 4
+#: Levels of a path, records of a bucket that is compared at once, further rounds of one level for larger ones, and their branching.
+LEVELS, BUCKET, ROUNDS, FURTHER = 6, 48, 2, 2.5
 #: Tokens in more than 1/COMMON of the records have their frequency sent to all tasks: at most COMMON x mean length.
 COMMON = 2048
 #: Of 128 sketch bits, so many may differ: at the threshold a pair differs in 21 on average, 3.5 deviations below 38.
@@ -97,10 +97,11 @@ def _sketch(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def _paths(common_tokens: np.ndarray, common_share: np.ndarray, branch: float, most: float, runs: int):
+def _paths(common_tokens: np.ndarray, common_share: np.ndarray, branch: float, most: float, runs: int, levels: int):
     """A function of batches with (rep, toks, node, size): each row's ends of paths below its node, with its sketch.
 
-    A null node is the root, with one start for each run.
+    A null node is the root, with one start for each run. No path is longer than ``levels``: among records that share
+    nearly all their tokens no token predicts a smaller bucket, and paths would only multiply.
     """
     weight_of = np.where(common_share >= 0.1, 0.25, np.where(common_share >= 0.01, 0.6, 1.0))
 
@@ -126,13 +127,10 @@ def _paths(common_tokens: np.ndarray, common_share: np.ndarray, branch: float, m
                     node = _mix(np.tile(np.arange(1, runs + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), len(part)))
                 else:
                     row, node = np.arange(len(part)), part["node"].to_numpy(np.int64).view(np.uint64)
-                est, first = size[row], True
+                est = size[row]
                 ends = []
-                for _ in range(40):
-                    done = est <= most
-                    if first:
-                        done[:] = False
-                        first = False
+                for level in range(levels + 1):
+                    done = (est <= most) & (level > 0) | (level == levels)
                     if done.any():
                         ends.append((row[done], node[done]))
                     row, node, est = row[~done], node[~done], est[~done]
@@ -162,7 +160,7 @@ def similar_sets(sets: DataFrame, share: float = SHARE, target: float = TARGET)
     held = held.assign(u=held["tok"].to_numpy(np.int64).view(np.uint64)).sort_values("u") if len(held) else held
     tokens, shares = held["tok"].to_numpy(np.int64), held["count"].to_numpy(float) / max(n, 1)
     most, runs = math.log(BUCKET / 4), planned_runs(share, target=target)
-    rows = sets.select("rep", "toks", F.lit(None).cast("bigint").alias("node"), F.lit(n).alias("size")).mapInPandas(_paths(tokens, shares, BRANCH, most, runs), _LEAF)
+    rows = sets.select("rep", "toks", F.lit(None).cast("bigint").alias("node"), F.lit(n).alias("size")).mapInPandas(_paths(tokens, shares, BRANCH, most, runs, LEVELS), _LEAF)
     ready, rest = [], None
     for turn in range(ROUNDS + 1):
         leaves = keep(rows.distinct().withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("size > 1"), "leaves")
@@ -171,8 +169,11 @@ def similar_sets(sets: DataFrame, share: float = SHARE, target: float = TARGET)
         if turn == ROUNDS or rest.isEmpty():
             break
         below = rest.select("rep", "node", "size").join(sets, "rep").select("rep", "toks", "node", "size")
-        rows = below.mapInPandas(_paths(tokens, shares, 2 * BRANCH, most, 1), _LEAF)
+        rows = below.mapInPandas(_paths(tokens, shares, FURTHER, most, 1, 1), _LEAF)
     near = (F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))) <= DIFFER
+    # buckets that no round made smaller: of those with the same members, one is enough
+    each = rest.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("sum"), F.bit_xor(F.xxhash64("rep")).alias("xor"))
+    rest = rest.join(each.groupBy("n", "sum", "xor").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
     pairs = None
     for part in [*ready, rest]:
         blocked = part.withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int"))
