@@ -186,6 +186,19 @@ def test_documents_about_one_thing(spark):
     assert clusters.thing_clusters(docs_of(spark, [])).count() == 0
 
 
+def test_hot_names_stay_names_and_capitalised_nouns_do_not(spark):
+    rows = [(i, "en", f"Visitors of Kolupaft admire stone number {i} near Kolupaft.") for i in range(60)]
+    rows += [(100 + i, "en", f"Visitors walk past house number {i} quietly. Several of them wait.") for i in range(60)]
+    nouns = ["die Steine", "viele Steine", "mit Steinen", "neue Steine", "12 Steine", "der Steine"]
+    rows += [(200 + i, "de", f"Man zeigt {nouns[i % 6]} in Haus {i}, wie einst {['bei', 'in', 'von', 'um'][i % 4]} Dagibalt {['nahe', 'vor', 'neben', 'hinter'][i % 4]} dem Wald w{i}.") for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "s", lang, "clash") for i, lang, t in rows], SCHEMA)
+    got = collections.defaultdict(set)
+    for r in clusters.names_of(clusters.read_documents(docs)).collect():
+        got[r.term].add(r.doc_id)
+    assert got["kolupaft"] == set(range(60)) and got["dagibalt"] == set(range(200, 260))
+    assert not {"visitors", "several", "steine"} & set(got)
+
+
 # 7 encoding
 
 
