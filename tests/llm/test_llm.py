@@ -186,6 +186,12 @@ def test_documents_about_one_thing(spark):
     assert clusters.thing_clusters(docs_of(spark, [])).count() == 0
 
 
+def test_pairs_of_a_large_cluster_are_whole(spark):
+    members = spark.createDataFrame([(i, "big", 1.0) for i in range(600)] + [(700 + i, "small", 1.0) for i in range(3)] + [(800, "one", 1.0)], "doc_id bigint, cluster string, strength double")
+    got = [(r.doc_id_a, r.doc_id_b) for r in clusters.cluster_pairs(members).collect()]
+    assert len(got) == len(set(got)) == 600 * 599 // 2 + 3 and all(a < b for a, b in got)
+
+
 def test_hot_names_stay_names_and_capitalised_nouns_do_not(spark):
     rows = [(i, "en", f"Visitors of Kolupaft admire stone number {i} near Kolupaft.") for i in range(60)]
     rows += [(100 + i, "en", f"Visitors walk past house number {i} quietly. Several of them wait.") for i in range(60)]
