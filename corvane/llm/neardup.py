@@ -37,8 +37,8 @@ LEVELS, BUCKET, ROUNDS, FURTHER = 6, 48, 2, 2.5
 COMMON = 2048
 #: Of 128 sketch bits, so many may differ: at the threshold a pair differs in 21 on average, 3.5 deviations below 38.
 BITS, DIFFER = 128, 38
-#: Classes of equal word bags up to this size are written out pair by pair, larger ones through their representative.
-EXPAND = 64
+#: Documents of a block: larger classes of equal word bags are paired block by block.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -201,17 +201,32 @@ def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, share: float =
     return members, similar_sets(unique, share, target)
 
 
-def document_pairs(members: DataFrame, pairs: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """(doc_id_a, doc_id_b), smaller first: the links between classes and within them, for documents.
+def document_pairs(members: DataFrame, pairs: DataFrame, expand: int | None = None) -> DataFrame:
+    """(doc_id_a, doc_id_b), smaller first: the links between classes and within them, for all documents of each.
 
-    Classes of up to ``expand`` documents are written out in full. A larger class, whose pairs would grow with its square,
-    is linked through its representative: every other member once to it, and it to the other classes.
+    The texts of a class may differ in order, case and punctuation, and equal ones are copies as well, so every pair is
+    written. Classes are dealt to blocks by id, and each two blocks meet under a key of their own, so a large class
+    is spread over many tasks; the number of its pairs is inherently quadratic. With ``expand``, a class of more documents has
+    only its representative linked to other classes and is a star around it, for callers that only need them linked.
     """
     sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rep")))
-    shown = sized.where((F.col("n") <= expand) | (F.col("doc_id") == F.col("rep"))).select("rep", "doc_id")
-    star = sized.where((F.col("n") > expand) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
-    a = shown.select(F.col("rep").alias("rep_a"), F.col("doc_id").alias("x"))
-    b = shown.select(F.col("rep").alias("rep_b"), F.col("doc_id").alias("y"))
-    across = pairs.join(a, "rep_a").join(b, "rep_b").select("x", "y")
-    within = a.join(b, (F.col("rep_a") == F.col("rep_b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    star = None
+    if expand is not None:
+        small, first = F.col("n") <= expand, F.col("doc_id") == F.col("rep")
+        star = sized.where(~small & ~first).select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
+        sized = sized.where(small | first).withColumn("n", F.when(small, F.col("n")).otherwise(1))
+    shown = sized.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    own_a = shown.select(F.col("rep").alias("rep_a"), F.col("block").alias("block_a"), F.col("doc_id").alias("x"))
+    own_b = shown.select(F.col("rep").alias("rep_b"), F.col("block").alias("block_b"), F.col("doc_id").alias("y"))
+    many = shown.where("blocks > 1 and doc_id = rep").select("rep", "blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    met = pairs.select("rep_a", "rep_b").join(many.select(F.col("rep").alias("rep_a"), F.col("blocks").alias("na")), "rep_a", "left")
+    met = met.join(many.select(F.col("rep").alias("rep_b"), F.col("blocks").alias("nb")), "rep_b", "left")
+    met = met.select("rep_a", "rep_b", "nb", every(F.col("na")).alias("block_a")).select("rep_a", "rep_b", "block_a", every(F.col("nb")).alias("block_b"))
+    across = met.join(own_a, ["rep_a", "block_a"]).join(own_b, ["rep_b", "block_b"]).select("x", "y")
+    both = shown.where("n > 1").withColumn("every", every(F.col("blocks")))
+    a = both.select("rep", F.col("block").alias("block_a"), F.col("every").alias("block_b"), F.col("doc_id").alias("x"))
+    b = both.select("rep", F.col("every").alias("block_a"), F.col("block").alias("block_b"), F.col("doc_id").alias("y"))
+    found = across.unionByName(a.join(b, ["rep", "block_a", "block_b"]).where("x < y").select("x", "y"))
+    found = found if star is None else found.unionByName(star)
+    return found.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))

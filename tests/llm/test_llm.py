@@ -65,6 +65,13 @@ def test_large_bucket_of_near_copies_is_whole(spark):
     assert found.where("doc_id_a = 200").count() >= 89 and found.count() == found.distinct().count()
 
 
+def test_pairs_of_large_classes_are_whole(spark):
+    members = spark.createDataFrame([(i, 0) for i in range(600)] + [(700 + i, 700) for i in range(300)] + [(2000, 2000)], "doc_id bigint, rep bigint")
+    pairs = spark.createDataFrame([(0, 700, 90), (0, 2000, 90)], "rep_a bigint, rep_b bigint, shared int")
+    got = [(r.doc_id_a, r.doc_id_b) for r in neardup.document_pairs(members, pairs).collect()]
+    assert len(got) == len(set(got)) == 600 * 599 // 2 + 300 * 299 // 2 + 600 * 300 + 600 and all(a < b for a, b in got)
+
+
 def test_near_duplicates_of_nothing(spark):
     members, pairs = neardup.near_duplicates(docs_of(spark, []))
     assert members.count() == 0 and neardup.document_pairs(members, pairs).count() == 0
