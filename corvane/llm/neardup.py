@@ -29,8 +29,8 @@ from corvane.llm.canonical import canonical
 from corvane.runtime import keep, spread
 
 MIN_WORDS, SHARE, TARGET = 60, 0.8, 0.995
-#: Tokens followed on average at a node, and levels a run is planned for.
-BRANCH, DEPTH = 1.5, 3
+#: Tokens followed on average at a node.
+BRANCH = 1.5
 #: Levels of a path, records of a bucket that is compared at once, further rounds of one level for larger ones, and their branching.
 LEVELS, BUCKET, ROUNDS, FURTHER = 6, 48, 2, 2.5
 #: Tokens in more than 1/COMMON of the records have their frequency sent to all tasks: at most COMMON x mean length.
@@ -42,14 +42,16 @@ BLOCK = 256
 _U = np.uint64
 
 
-def planned_runs(share: float = SHARE, branch: float = BRANCH, depth: int = DEPTH, target: float = TARGET) -> int:
+def planned_runs(share: float = SHARE, branch: float = BRANCH, depth: int = LEVELS, target: float = TARGET, rounds: int = ROUNDS, further: float = FURTHER) -> int:
     """Runs after which a pair at the threshold is missed with probability below ``1 - target``.
 
-    The tokens a pair follows together form a branching process with mean ``share * branch``.
+    The tokens a pair follows together form a branching process with mean ``share * branch`` on each of the ``depth``
+    levels of a path and ``share * further`` in each of the ``rounds`` after it; all that may be needed are planned for.
+    ``share`` is of the weight by which tokens are chosen.
     """
     lost = 0.0
-    for _ in range(depth):
-        lost = math.exp(-share * branch * (1 - lost))
+    for mean in [share * further] * rounds + [share * branch] * depth:
+        lost = math.exp(-mean * (1 - lost))
     return math.ceil(math.log(1 - target) / math.log(lost))
 
 
@@ -97,18 +99,45 @@ def _sketch(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def _weights(common_share: np.ndarray) -> np.ndarray:
+    """Weights by which tokens of such shares of the records are chosen; all others have 1."""
+    return np.where(common_share >= 0.1, 0.25, np.where(common_share >= 0.01, 0.6, 1.0))
+
+
+def weighted_share(sets: DataFrame, common_tokens: np.ndarray, common_share: np.ndarray, share: float) -> float:
+    """The part of its weight that a record shares at least with one at the threshold, if the edits hit its heaviest (rarest)
+    tokens: the smallest such part but for one record in a hundred."""
+    weight_of = _weights(common_share)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for toks in b["toks"]:
+                toks = np.asarray(toks, np.int64).view(np.uint64)
+                weight = np.ones(len(toks))
+                if len(common_tokens):
+                    at = np.searchsorted(common_tokens.view(np.uint64), toks) % len(common_tokens)
+                    weight = np.where(common_tokens.view(np.uint64)[at] == toks, weight_of[at], 1.0)
+                found.append(np.sort(weight)[: math.ceil(share * len(toks))].sum() / weight.sum())
+            yield pd.DataFrame({"part": found})
+
+    got = sets.select("toks").mapInPandas(least, "part double").agg(F.percentile_approx("part", 0.01, 10_000)).first()[0]
+    return share if got is None else min(share, got)
+
+
 def _paths(common_tokens: np.ndarray, common_share: np.ndarray, branch: float, most: float, runs: int, levels: int):
     """A function of batches with (rep, toks, node, size): each row's ends of paths below its node, with its sketch.
 
     A null node is the root, with one start for each run. No path is longer than ``levels``: among records that share
     nearly all their tokens no token predicts a smaller bucket, and paths would only multiply.
     """
-    weight_of = np.where(common_share >= 0.1, 0.25, np.where(common_share >= 0.01, 0.6, 1.0))
+    weight_of = _weights(common_share)
+    rows_at_once = max(100, 16_000 // runs)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.iloc[lo : lo + 2000]
+            for lo in range(0, len(b), rows_at_once):
+                part = b.iloc[lo : lo + rows_at_once]
                 flat, sizes = _flat(part["toks"])
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 known = common_tokens.view(np.uint64)
@@ -159,7 +188,7 @@ def similar_sets(sets: DataFrame, share: float = SHARE, target: float = TARGET)
     held = sets.select(F.explode("toks").alias("tok")).groupBy("tok").count().where(F.col("count") * COMMON > n).toPandas()
     held = held.assign(u=held["tok"].to_numpy(np.int64).view(np.uint64)).sort_values("u") if len(held) else held
     tokens, shares = held["tok"].to_numpy(np.int64), held["count"].to_numpy(float) / max(n, 1)
-    most, runs = math.log(BUCKET / 4), planned_runs(share, target=target)
+    most, runs = math.log(BUCKET / 4), planned_runs(weighted_share(sets, tokens, shares, share), target=target)
     rows = sets.select("rep", "toks", F.lit(None).cast("bigint").alias("node"), F.lit(n).alias("size")).mapInPandas(_paths(tokens, shares, BRANCH, most, runs, LEVELS), _LEAF)
     ready, rest = [], None
     for turn in range(ROUNDS + 1):

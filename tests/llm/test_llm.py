@@ -1,10 +1,12 @@
 """Training-data operators against brute force, and their edge cases."""
 
 import collections
+import math
 import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,17 @@ def test_pairs_of_large_classes_are_whole(spark):
     assert len(got) == len(set(got)) == 600 * 599 // 2 + 300 * 299 // 2 + 600 * 300 + 600 and all(a < b for a, b in got)
 
 
+def test_runs_are_planned_for_all_levels_and_the_weighted_share(spark):
+    lost = 0.0
+    for mean in [0.8 * neardup.FURTHER] * neardup.ROUNDS + [0.8 * neardup.BRANCH] * neardup.LEVELS:
+        lost = math.exp(-mean * (1 - lost))
+    assert lost ** neardup.planned_runs(0.8) <= 0.005
+    sets = spark.createDataFrame([(i, list(range(50)) + [1000 + 50 * i + k for k in range(50)]) for i in range(20)], "rep bigint, toks array<bigint>")
+    common = np.arange(50)
+    # half the tokens weigh 0.25; the 20 lost ones weigh 1
+    assert abs(neardup.weighted_share(sets, common, np.ones(50), 0.8) - (12.5 + 30) / 62.5) < 1e-9
+
+
 def test_near_duplicates_of_nothing(spark):
     members, pairs = neardup.near_duplicates(docs_of(spark, []))
     assert members.count() == 0 and neardup.document_pairs(members, pairs).count() == 0
