@@ -23,12 +23,12 @@ def _content(s, d):
 
 @cache
 def _clusters(s, d):
-    return groups.fit_clusters(_docs(s, d), k=8, features=5000, dims=64, seeds=3)
+    return groups.fit_clusters(_docs(s, d), k=8)
 
 
 @cache
 def _topics(s, d):
-    return groups.fit_topics(_docs(s, d), topics=10, features=5000)
+    return groups.fit_topics(_docs(s, d), topics=10)
 
 
 def topic_infer(s, d):
@@ -61,7 +61,7 @@ def topic_label(s, d):
 
 def lsa(s, d):
     c = _clusters(s, d)
-    rows = [(t, [float(x) for x in v[:8]]) for t, v in zip(c.vocabulary, c.components)]
+    rows = [(t, [float(x) for x in v]) for t, v in zip(c.vocabulary, c.components)]
     return s.createDataFrame(rows, "term string, components array<double>")
 
 
@@ -72,7 +72,7 @@ def kmeans(s, d):
 
 def w2v_build(s, d):
     tokens = _docs(s, d).select("doc_id", ANALYZER(F.col("text")).alias("tokens"))
-    model = groups.fit_word_vectors(tokens, size=50, iterations=1)
+    model = groups.fit_word_vectors(tokens)
     return groups.word_vector_documents(model, tokens)
 
 

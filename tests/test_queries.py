@@ -32,3 +32,31 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(queries.QUERIES)
+
+
+def test_model_queries_run_the_whole_job(spark, monkeypatch):
+    import inspect
+
+    from corvane.operators import groups
+    from corvane.plans import models
+
+    asked = {}
+    for name in ("fit_clusters", "fit_topics", "fit_word_vectors"):
+        was = inspect.signature(getattr(groups, name))
+
+        def record(*a, _name=name, _was=was, **k):
+            bound = _was.bind(*a, **k)
+            bound.apply_defaults()
+            asked[_name] = bound.arguments
+            raise StopIteration
+
+        monkeypatch.setattr(groups, name, record)
+    for f in (models._clusters.__wrapped__, models._topics.__wrapped__, models.w2v_build):
+        with pytest.raises(StopIteration):
+            f(spark, FOLDER)
+    assert (asked["fit_clusters"]["features"], asked["fit_clusters"]["dims"], asked["fit_clusters"]["seeds"]) == (20_000, 128, 10)
+    assert asked["fit_topics"]["features"] == 20_000
+    assert (asked["fit_word_vectors"]["size"], asked["fit_word_vectors"]["iterations"]) == (100, 5)
+    whole = groups.Clusters(["a", "b"], None, None, [[0.5] * 20, [0.1] * 20])
+    monkeypatch.setattr(models, "_clusters", lambda s, d: whole)
+    assert {len(r.components) for r in models.lsa(spark, FOLDER).collect()} == {20}
