@@ -115,7 +115,10 @@ def dense_score_docs(s, d):
 
 
 def encode_plugin(s, d):
-    return dense.encode(asked(s, d).select("query_id", "text"), dense.hashing_encoder())
+    """Vectors of all documents and of all queries."""
+    docs = table(s, d, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("key"), "text")
+    every = docs.unionByName(table(s, d, "queries").select(F.lit("queries").alias("table_name"), F.col("query_id").alias("key"), "text"))
+    return dense.encode(every, dense.hashing_encoder())
 
 
 # fusion of the stored runs, and of rankings made here

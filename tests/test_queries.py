@@ -60,3 +60,9 @@ def test_model_queries_run_the_whole_job(spark, monkeypatch):
     whole = groups.Clusters(["a", "b"], None, None, [[0.5] * 20, [0.1] * 20])
     monkeypatch.setattr(models, "_clusters", lambda s, d: whole)
     assert {len(r.components) for r in models.lsa(spark, FOLDER).collect()} == {20}
+
+
+def test_every_document_and_query_is_encoded(spark):
+    got = queries.QUERIES["encode_plugin"](spark, FOLDER).groupBy("table_name").count().collect()
+    want = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "queries")}
+    assert {r.table_name: r["count"] for r in got} == want
