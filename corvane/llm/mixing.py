@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Blocks of a source within which running sums are taken; a source of any size is spread over them.
 BLOCKS = 1024
+#: Supply and demand that differ by less than this part are equal: rounding of the integral must not decide a comparison.
+TIE = 1e-12
+#: Segments of a schedule that slopes.
+KNOTS = 32
 
 
 def constant_schedule(targets: DataFrame) -> DataFrame:
@@ -14,6 +18,21 @@ def constant_schedule(targets: DataFrame) -> DataFrame:
     return targets.select("mix_id", "source", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"), "weight")
 
 
+def tilted_schedule(targets: DataFrame) -> DataFrame:
+    """A schedule (mix_id, source, t, weight) that begins with the large sources and ends with the small ones.
+
+    A share starts above or falls below its target by its distance from the mix's mean share (by tokens), so the weights
+    of each knot add up to one and the mean over time is the target. Repeated targets add up.
+    """
+    w = targets.groupBy("mix_id", "source").agg(F.sum(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("w"))
+    mix = Window.partitionBy("mix_id")
+    share = w.withColumn("s", F.when(F.sum("w").over(mix) > 0, F.col("w") / F.sum("w").over(mix)).otherwise(0.0))
+    tilt = share.withColumn("a", F.col("s") - F.sum(F.col("s") * F.col("s")).over(mix))
+    # demand is linear between knots, so a slope needs many of them
+    knots = tilt.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(KNOTS)))).withColumn("t", F.col("k") / F.lit(float(KNOTS)))
+    return knots.select("mix_id", "source", "t", (F.col("s") * (1 + (1 - 2 * F.col("t")) * F.col("a"))).alias("weight"))
+
+
 def demand(schedule: DataFrame, total: DataFrame | float) -> DataFrame:
     """(mix_id, source, t0, t1, d0, d1): cumulative token demand of each source between the knots of its schedule.
 
@@ -54,10 +73,12 @@ def shares(targets: DataFrame, counts: DataFrame, schedule: DataFrame | None = N
         "mix_id", "source", "weight", "max_repeats", "share", F.coalesce("docs", F.lit(0)).alias("docs"), tokens.alias("tokens"),
         F.coalesce("wanted", F.lit(0.0)).alias("wanted"),
     )
-    # the constant schedule has an exact form; rounding of the integral must not decide a comparison
-    need = F.col("share") * F.lit(float(total)) if schedule is None else F.col("wanted")
+    # repeated targets of a source divide its demand
+    each = F.count(F.lit(1)).over(Window.partitionBy("mix_id", "source"))
+    part = F.coalesce(F.col("weight") / F.sum("weight").over(Window.partitionBy("mix_id", "source")), 1 / each)
+    need = F.col("wanted") * part
     can = F.when(F.col("max_repeats").isNull() & (F.col("tokens") > 0), F.lit(None)).otherwise(F.col("tokens") * F.coalesce("max_repeats", F.lit(0)))
-    row = row.withColumn("need", need).withColumn("can", can.cast("double")).withColumn("short", F.coalesce(F.col("can") < F.col("need"), F.lit(False)))
+    row = row.withColumn("need", need).withColumn("can", can.cast("double")).withColumn("short", F.coalesce(F.col("can") < F.col("need") * (1 - TIE), F.lit(False)))
     used = F.when(F.col("can").isNull(), F.col("need")).otherwise(F.least("can", "need"))
     row = row.withColumn("used", used).withColumn("actual_share", F.col("used") / F.sum("used").over(Window.partitionBy("mix_id")))
     return row.select(

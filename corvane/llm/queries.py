@@ -89,6 +89,12 @@ def p8_order(spark, d):
     return mixing.curriculum(*_mix(spark, d))
 
 
+def p8_order_tilted(spark, d):
+    """The same with shares that vary over time: large sources first, small ones last."""
+    targets, sizes = _mix(spark, d)
+    return mixing.curriculum(targets, sizes, mixing.tilted_schedule(targets))
+
+
 def p8_found(spark, d):
     return p8_shares(spark, d).where("short").select("mix_id", "source")
 
@@ -107,7 +113,7 @@ def p9_composition(spark, d):
     return shares.groupBy("subject").agg(F.sum(F.when(F.col("share") >= subjects.SHARE, 1).otherwise(0)).alias("documents"), F.sum("share").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p6_found, p6_members, p6_clusters, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p6_found, p6_members, p6_clusters, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p8_order_tilted, p9_found, p9_composition)}
 
 
 def sql() -> dict[str, str]:

@@ -270,6 +270,21 @@ def test_schedule_moves_a_source_to_the_end(spark):
     assert mixing.curriculum(targets, counts, ramp).count() == 400
 
 
+def test_shares_come_from_the_demand(spark, monkeypatch):
+    counts = spark.createDataFrame([(i, "aaab"[i % 4], 10) for i in range(400)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 3.0, 1), ("m", "b", 1.0, 1)], "mix_id string, source string, weight double, max_repeats int")
+    # supply equals demand: a tie is no shortage, also where the schedule varies
+    ramp = mixing.tilted_schedule(targets)
+    for schedule in (None, ramp):
+        got = {r.source: r for r in mixing.shares(targets, counts, schedule).collect()}
+        assert not got["a"].short and not got["b"].short and abs(got["a"].target_tokens - 3000) < 1e-6
+    mean = {r.source: r.p for r in mixing.curriculum(targets, counts, ramp).groupBy("source").agg(F.avg("position").alias("p")).collect()}
+    assert mean["a"] < mean["b"]
+    was = mixing.demand
+    monkeypatch.setattr(mixing, "demand", lambda *a: was(*a).withColumn("d1", 2 * F.col("d1")))
+    assert all(r.short for r in mixing.shares(targets, counts).collect())
+
+
 # 9 subjects
 
 
