@@ -48,7 +48,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._corvane_path = path
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete a table made by :func:`keep` that nothing reads any more, as the last round of an iteration."""
+    remove(kept.sparkSession, kept._corvane_path)
 
 
 def rows_of(df: DataFrame, bound: int) -> list:
