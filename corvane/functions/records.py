@@ -11,7 +11,7 @@ def record_terms(rows: DataFrame, keep: list[str], found: Column) -> DataFrame:
 
     The counts are the run lengths of the sorted tokens, so no row leaves its record and nothing is shuffled.
     """
-    rows = rows.select(*keep, F.sort_array(found).alias("_t")).where(F.size("_t") > 0)
+    rows = rows.select(*keep, F.sort_array(found).alias("_t"))
     starts = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (F.get("_t", i - 1) != t), i).otherwise(-1)), lambda i: i >= 0)
     rows = rows.select(*keep, "_t", F.size("_t").alias("_n"), starts.alias("_s"))
     return rows.select(

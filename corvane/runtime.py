@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -83,12 +84,13 @@ def ship(spark: SparkSession) -> None:
     sc._corvane_shipped = True
 
 
-#: Bytes of stored input for each core below which a scan is spread over all cores before costly work on it.
-SPREAD_BYTES = 4 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it is a small scan: a single small file would keep one core busy. Large inputs stay as they are."""
+    """``df`` over all cores, if it has fewer partitions than there are cores: the one rule at every size.
+
+    The filter after the exchange is always true. Being non-deterministic, it keeps the optimizer from pushing later filters,
+    and with them the costly expressions they test, below the exchange, where they would be computed a second time.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores).where(F.rand(0) >= 0.0)
