@@ -2,14 +2,15 @@
 
 A character is *unstable* when the form chosen here would change it: by canonical composition, by a
 compatibility mapping that keeps the look (width, ligature, font, no-break), because it shows nothing
-(zero-width and other ignorable characters), because it is a space of another kind, or because it is a letter of
-another script that looks like a Latin one. The quick check is one character class; a text without a match is
-returned unchanged. Otherwise each unstable run, together with the character before it and the combining
-characters after it (the context composition can reach), is normalised alone and spliced back.
+(zero-width and other ignorable characters), or because it is a space or hyphen of another kind. The quick check asks for any such
+character; a text without one is returned unchanged. Otherwise only the unstable *segments* are normalised: a maximal run of
+unstable characters with the one character before it, which composition can reach. What follows a segment is stable, so
+it starts anew, and the segment is spliced back into the unchanged rest, whatever script that is in.
 
 Kept apart, since a reader sees the difference: case, accents, punctuation, superscripts, circled and fractional
-forms. Letters of a word are only replaced by look-alikes when the whole word then is Latin, so words of other
-scripts survive; :func:`look` maps them as well and serves for comparison only.
+forms. Letters of other scripts become the Latin ones they look like in words that hold Latin letters too; words
+wholly of such letters follow only in a text with more Latin letters than letters that look like none, and with such a mixed word (or if they have one or two letters),
+so that words and texts of other scripts survive. :func:`look` maps all of them and serves for comparison only.
 """
 
 from __future__ import annotations
@@ -49,10 +50,13 @@ LOOK_ALIKES = {
 }
 #: Compatibility mappings a reader can see are not applied.
 VISIBLE = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
+#: Letters of a word that is taken for Latin in a Latin text if all of them may be.
+SHORT = 2
 #: Rows of one stored form that are paired one by one.
 EXPAND = 64
 IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}᠎﻿]")
 SPACE = regex.compile(r"[\p{Zs}\t\v\f\x85]")
+_GAPS = re.compile(r"[\t\v\f\x85]")
 
 
 def _mapped(c: str) -> str:
@@ -72,14 +76,17 @@ def _mapped(c: str) -> str:
     return "".join(parts)
 
 
+_HYPHENS = "‐‑−⁃"
+
+
 @functools.cache
-def tables() -> tuple[dict[int, str], frozenset[str]]:
-    """The map of single characters, and the characters whose quick check says no or maybe."""
+def tables() -> tuple[dict[int, str], frozenset[str], re.Pattern]:
+    """The map of single characters, the characters whose quick check says no or maybe, and the pattern of a segment."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    special = {*IGNORABLE.findall(every), *SPACE.findall(every), *LOOK_ALIKES} - {" "}
-    to, unstable = {}, set(special)
+    special = {*IGNORABLE.findall(every), *SPACE.findall(every), *_HYPHENS} - {" "}
+    to, unstable = {ord(c): "-" for c in _HYPHENS}, set(special)
     for c in every:
-        if 0xAC00 <= ord(c) <= 0xD7A3 or not (c in special or unicodedata.decomposition(c) or unicodedata.combining(c)):
+        if 0xAC00 <= ord(c) <= 0xD7A3 or c in _HYPHENS or not (c in special or unicodedata.decomposition(c) or unicodedata.combining(c)):
             continue
         m = _mapped(c)
         if m != unicodedata.normalize("NFD", c):
@@ -87,46 +94,43 @@ def tables() -> tuple[dict[int, str], frozenset[str]]:
         if unicodedata.combining(c) or unicodedata.normalize("NFC", m) != c or not unicodedata.is_normalized("NFC", "a" + c):
             unstable.add(c)
     unstable.update(map(chr, range(0x1161, 0x1200)))  # conjoining letters compose with what precedes them
-    return to, frozenset(unstable)
+    # one class of the basic plane, which is matched by a table; of the planes above, every character is looked up
+    near = "".join(map(re.escape, sorted(c for c in unstable if ord(c) < 0x10000)))
+    far = "".join(map(re.escape, sorted(c for c in unstable if ord(c) >= 0x10000)))
+    return to, frozenset(unstable), re.compile(f"(?s).?(?:[{near}]+|[\U00010000-\U0010ffff](?<=[{far}]))+")
 
 
-_GAPS = re.compile(r"[\t\v\f\x85]")
-#: A run outside ASCII with the character before it, which a combining character may reach.
-_RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_FOREIGN = re.compile("[" + "".join(c for c in LOOK_ALIKES if c not in "‐‑−⁃") + "]")
-_HYPHENS = str.maketrans({c: "-" for c in "‐‑−⁃"})
-_LETTERS = str.maketrans(LOOK_ALIKES)
+_FOREIGN = re.compile("[" + "".join(c for c in LOOK_ALIKES if c not in _HYPHENS) + "]")
+_LETTERS = str.maketrans({a: b for a, b in LOOK_ALIKES.items() if a not in _HYPHENS})
 _LATIN = regex.compile(r"[\p{Latin}\p{M}]+")
+_MIXED = regex.compile(r"\p{Latin}\p{M}*[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}]|[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}]\p{M}*\p{Latin}")
+_OTHER, _OWN = regex.compile(r"[\p{L}--\p{Latin}]", regex.V1), regex.compile(r"\p{Latin}")
 
 
-def _word(m) -> str:
-    """A word in Latin letters if all its letters have Latin look-alikes, else the word as it is."""
-    w = m.group()
-    if not _FOREIGN.search(w):
-        return w
-    d = unicodedata.normalize("NFD", w).translate(_LETTERS)
-    return unicodedata.normalize("NFC", d) if _LATIN.fullmatch(d) else w
+def _latinised(text: str) -> str:
+    """Words in Latin letters where all their letters have Latin look-alikes and the word, or the text around it, is a mixture."""
+    latin = len(_OWN.findall(text)) > sum(c not in LOOK_ALIKES for c in _OTHER.findall(text))
+    whole = latin and bool(_MIXED.search(text))
+
+    def word(m) -> str:
+        w = m.group()
+        if not _FOREIGN.search(w) or not (whole or latin and len(w) <= SHORT or _OWN.search(w)):
+            return w
+        d = unicodedata.normalize("NFD", w).translate(_LETTERS)
+        return unicodedata.normalize("NFC", d) if _LATIN.fullmatch(d) else w
+
+    return _WORD.sub(word, text)
 
 
 def canonical_text(text: str | None) -> str | None:
     """One text in the consistent form; null stays null."""
-    if text is None:
-        return None
-    if _GAPS.search(text):
-        text = _GAPS.sub(" ", text)
-    if text.isascii():
+    if text is None or text.isascii() and not _GAPS.search(text):
         return text
-    to, unstable = tables()
-
-    def splice(m: re.Match) -> str:
-        run = m.group()
-        return run if unstable.isdisjoint(run) else unicodedata.normalize("NFC", unicodedata.normalize("NFD", run).translate(to))
-
-    text = _RUN.sub(splice, text)
-    if text.isascii() or not _FOREIGN.search(text):
-        return text.translate(_HYPHENS)
-    return _WORD.sub(_word, text).translate(_HYPHENS)
+    to, unstable, segment = tables()
+    if not unstable.isdisjoint(text):
+        text = segment.sub(lambda m: unicodedata.normalize("NFC", unicodedata.normalize("NFD", m.group()).translate(to)), text)
+    return text if text.isascii() or not _FOREIGN.search(text) else _latinised(text)
 
 
 @F.pandas_udf(StringType())
@@ -135,14 +139,51 @@ def _canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(canonical_text, na_action="ignore")
 
 
+# the optimizer neither repeats it nor moves it below an exchange
+_canonical = _canonical.asNondeterministic()
+
+
+#: Only texts with such a character are sent to Python.
+_ASK = r"[^\x00-\x7F]|[\t\x0B\f]"
+
+
 def canonical(text: Column) -> Column:
-    """Column form of :func:`canonical_text`: Arrow batches, one pass, no shuffle."""
-    return _canonical(text)
+    """Column form of :func:`canonical_text`: Arrow batches, one pass, no shuffle. ASCII texts stay in the JVM."""
+    return F.coalesce(_canonical(F.when(text.rlike(_ASK), text)), text)
+
+
+@functools.cache
+def _looks() -> tuple[str, str]:
+    """Look-alikes, and by rule their composed forms with accents, with the Latin letters they look like."""
+    to = dict(LOOK_ALIKES)
+    for c in map(chr, range(0x370, 0x10000)):
+        d = unicodedata.normalize("NFD", c) if unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<") else ""
+        if len(d) > 1 and d[0] in LOOK_ALIKES and len(x := unicodedata.normalize("NFC", LOOK_ALIKES[d[0]] + d[1:])) == 1:
+            to[c] = x
+    return "".join(to), "".join(to.values())
 
 
 def look(canon: Column) -> Column:
     """What a reader sees of a canonical text: remaining look-alikes as Latin letters, outer spaces and their number ignored."""
-    return F.trim(F.regexp_replace(F.translate(canon, "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values())), r" +", " "))
+    return F.trim(F.regexp_replace(F.translate(canon, *_looks()), r" +", " "))
+
+
+def look_classes(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, look, form): a class of each row that looks like others of the same ``look``, and of its stored ``form`` (64-bit hashes).
+
+    Rows with a null key, or a text without visible characters, have no row; repeated rows count once.
+    """
+    return _classes(rows, key, text).select("key", F.col("g.col1").alias("look"), F.col("form").alias("form"))
+
+
+def _classes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return (
+        spread(rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("stored")).where("key is not null and stored is not null"))
+        .withColumn("seen", look(canonical(F.col("stored"))))
+        .where(F.regexp_replace("seen", r"(?U)[\s\p{C}\p{M}]", "") != "")
+        .select("key", F.struct(F.xxhash64("seen"), F.xxhash64(F.reverse("seen"))).alias("g"), F.xxhash64("stored", F.reverse("stored")).alias("form"))
+        .distinct()
+    )
 
 
 def same_look(rows: DataFrame, key: str, text: str = "text", expand: int = EXPAND) -> DataFrame:
@@ -154,17 +195,10 @@ def same_look(rows: DataFrame, key: str, text: str = "text", expand: int = EXPAN
     rows of the other forms, and each further row meets the smallest key of each other form: every row keeps its
     link to every other form, without the product of two large groups.
     """
-    looks = (
-        spread(rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("stored")))
-        .where(F.col("key").isNotNull() & F.col("stored").isNotNull())
-        .withColumn("seen", look(canonical(F.col("stored"))))
-        .where(F.regexp_replace("seen", r"(?U)[\s\p{C}\p{M}]", "") != "")
-        .select("key", F.struct(F.xxhash64("seen"), F.xxhash64(F.reverse("seen"))).alias("g"), F.xxhash64("stored", F.reverse("stored")).alias("form"))
-    )
-    looks = keep(looks, "looks")
+    looks = keep(_classes(rows, key, text), "looks")
     several = looks.groupBy("g").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("g")
     form = Window.partitionBy("g", "form")
-    part = looks.join(several, "g", "left_semi").distinct()
+    part = looks.join(several, "g", "left_semi")
     part = part.select("g", "form", "key", (F.min("key").over(form) == F.col("key")).alias("first"), (F.count(F.lit(1)).over(form) <= expand).alias("small"))
     a, b = part.where("small or first").alias("a"), part.alias("b")
     other = (F.col("a.g") == F.col("b.g")) & (F.col("a.form") != F.col("b.form"))

@@ -46,6 +46,12 @@ def p4_text(spark, d):
     return docs.unionByName(table(spark, d, "queries").select(F.lit("queries").alias("table_name"), F.col("query_id").alias("key"), canonical.canonical(F.col("text")).alias("text")))
 
 
+def p4_classes(spark, d):
+    """Every row of documents and queries with the class of its look and of its stored form: the membership of any number of copies."""
+    docs = canonical.look_classes(table(spark, d, "documents"), "doc_id").select(F.lit("documents").alias("table_name"), "key", "look", "form")
+    return docs.unionByName(canonical.look_classes(table(spark, d, "queries"), "query_id").select(F.lit("queries").alias("table_name"), "key", "look", "form"))
+
+
 def p4_found(spark, d):
     docs = canonical.same_look(table(spark, d, "documents"), "doc_id").select(F.lit("documents").alias("table_name"), "key_a", "key_b")
     return docs.unionByName(canonical.same_look(table(spark, d, "queries"), "query_id").select(F.lit("queries").alias("table_name"), "key_a", "key_b"))
@@ -113,7 +119,7 @@ def p9_composition(spark, d):
     return shares.groupBy("subject").agg(F.sum(F.when(F.col("share") >= subjects.SHARE, 1).otherwise(0)).alias("documents"), F.sum("share").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_text, p6_found, p6_members, p6_clusters, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p8_order_tilted, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_classes, p4_text, p6_found, p6_members, p6_clusters, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p8_order_tilted, p9_found, p9_composition)}
 
 
 def sql() -> dict[str, str]:
