@@ -101,8 +101,14 @@ def p8_order_tilted(spark, d):
     return mixing.curriculum(targets, sizes, mixing.tilted_schedule(targets))
 
 
+def p8_shares_tilted(spark, d):
+    """The same shares where large sources come first and small ones last."""
+    targets, sizes = _mix(spark, d)
+    return mixing.shares(targets, sizes, mixing.tilted_schedule(targets))
+
+
 def p8_found(spark, d):
-    return p8_shares(spark, d).where("short").select("mix_id", "source")
+    return mixing.plan(*_mix(spark, d)).where("short").select("mix_id", "source")
 
 
 def _areas(spark, d):
@@ -119,7 +125,7 @@ def p9_composition(spark, d):
     return shares.groupBy("subject").agg(F.sum(F.when(F.col("share") >= subjects.SHARE, 1).otherwise(0)).alias("documents"), F.sum("share").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_classes, p4_text, p6_found, p6_members, p6_clusters, p7_ids, p7_round_trip, p8_found, p8_shares, p8_order, p8_order_tilted, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topn, p3_found, p3_terms, p4_found, p4_classes, p4_text, p6_found, p6_members, p6_clusters, p7_ids, p7_round_trip, p8_found, p8_shares, p8_shares_tilted, p8_order, p8_order_tilted, p9_found, p9_composition)}
 
 
 def sql() -> dict[str, str]:

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from corvane.runtime import new_path
 
-#: Rows of a file of the clustered layout that the writer aims at, and rows of its row groups.
-FILE_ROWS, ROW_GROUP_ROWS = 600_000, 20_000
+#: Rows of a file of the clustered layout that the writer aims at, and rows of its row groups: a group of more than two of these has some that
+#: can be skipped, since within a file each group lies together, best score first.
+FILE_ROWS, ROW_GROUP_ROWS = 1_000_000, 2_048
+#: Fewer rows than this are no file of their own.
+LEAST_ROWS = 100_000
 #: Judged keys up to this number are broadcast (some 100 MB at most); beyond it the semi join shuffles.
 BROADCAST_KEYS = 1_000_000
 
@@ -39,7 +42,7 @@ def cluster_by_group(rows: DataFrame, groups: Sequence[str], item: str, score: s
     placed = rows.join(F.broadcast(big), on, "left").select(*groups, "item", "score", F.coalesce("parts", F.lit(1)).alias("parts"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
     (
-        placed.repartition(max(files, min(8, n // 50_000)), *groups, "part")
+        placed.repartition(max(files, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_ROWS)), *groups, "part")
         .drop("part")
         .sortWithinPartitions(*groups, F.desc("score"), "item")
         .write.option("compression", "zstd")
@@ -67,7 +70,8 @@ def scan_file(path: str, groups: list[str], n: int, seen: dict | None = None) ->
     """The n best distinct items of each group of one clustered file.
 
     Row groups are read in descending maximum score. A row group whose statistics show a single group, and a maximum
-    strictly below that group's current n-th score, is skipped; equal scores are read, as the tie rule may prefer them.
+    strictly below that group's current n-th score, is skipped; equal scores are read, as the tie rule may prefer them. A row
+    group of several groups holds the best rows of all but the first of them, so it is never below every contained group's n-th score.
     ``seen`` receives the numbers of row groups read and skipped.
     """
     file = _open(path)
