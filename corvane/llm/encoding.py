@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from corvane.runtime import keep
+from corvane.runtime import keep, spread
 
 #: Where the vocabulary files of the public tokenizers lie, on every executor.
 TOKENIZERS = os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers")
@@ -56,7 +56,7 @@ def word_ids(pieces: DataFrame, path: str) -> DataFrame:
 
 
 def _pieces(texts: DataFrame) -> DataFrame:
-    return texts.select("doc", F.posexplode(pre_tokens(F.col("text"))).alias("pos", "word"))
+    return spread(texts).select("doc", F.posexplode(pre_tokens(F.col("text"))).alias("pos", "word"))
 
 
 def _joined(texts: DataFrame, path: str, value: Column) -> DataFrame:
@@ -65,13 +65,13 @@ def _joined(texts: DataFrame, path: str, value: Column) -> DataFrame:
     Words that make up more than 1/HOT of all pieces are at most HOT: they are broadcast and their rows never move
     by word, which takes the hot keys out of the shuffle. All other words are joined by a shuffle on the word.
     """
-    words = keep(word_ids(_pieces(texts), path).select("word", "n", value.alias("value")), "words")
+    pieces = keep(_pieces(texts), "pieces")
+    words = keep(word_ids(pieces, path).select("word", "n", value.alias("value")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    pieces = _pieces(texts)
     frequent = F.broadcast(words.where(F.col("n") * HOT > total).select("word", "value"))
     rare = words.where(F.col("n") * HOT <= total).select("word", "value")
     at_once = pieces.join(frequent, "word").select("doc", "pos", "value")
-    moved = pieces.join(frequent.select("word"), "word", "left_anti").join(rare.hint("shuffle_hash"), "word").select("doc", "pos", "value")
+    moved = pieces.join(frequent.select("word"), "word", "left_anti").join(rare, "word").select("doc", "pos", "value")
     return at_once.unionByName(moved)
 
 

@@ -10,7 +10,8 @@ child. Rare tokens split best, so tokens held by much of the corpus get a smalle
 soon as the product of its token frequencies predicts a small bucket; the whole path is computed within the record,
 without a shuffle for each level. A bucket that comes out larger than predicted is split by further tokens, round by
 round; one that does not get smaller holds records that are alike, and is compared in blocks, never in one task.
-Runs are repeated until the probability of missing a pair at the threshold falls below ``1 - target``.
+Runs are repeated until further ones find less than ``1 - target`` of the pairs anew, which is observed and so holds for whatever
+depth the paths have, or until the planned probability of missing a pair at the threshold falls below ``1 - target``.
 Candidates must agree on a sketch of 128 one-bit minimum hashes; an exact check of the overlap follows.
 """
 
@@ -24,11 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import words
-from corvane.llm.canonical import canonical
-from corvane.runtime import keep, spread
+from corvane.llm.reading import hashed, read, words_of
+from corvane.runtime import keep
 
 MIN_WORDS, SHARE, TARGET = 60, 0.8, 0.995
+#: Runs made at first, and added at a time while they still find new pairs.
+FIRST, MORE = 6, 3
 #: Tokens followed on average at a node.
 BRANCH = 1.5
 #: Levels of a path, records of a bucket that is compared at once, further rounds of one level for larger ones, and their branching.
@@ -66,26 +68,30 @@ def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*map(np.asarray, lists)]).astype(np.int64).view(np.uint64), sizes
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted word hashes to tokens: a word and the number of its occurrence."""
-    for b in batches:
-        if not len(b):
-            continue
-        flat, sizes = _flat(b["h"])
-        at = np.arange(len(flat))
-        new = np.r_[True, flat[1:] != flat[:-1]]
-        new[np.r_[0, np.cumsum(sizes)[:-1]]] = True
-        start = np.maximum.accumulate(np.where(new, at, 0))
-        code = _mix(flat + (at - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "toks": np.split(code, np.cumsum(sizes)[:-1])})
+def _occurrences(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Word hashes, sorted within each record, to tokens: a word and the number of its occurrence."""
+    at = np.arange(len(flat))
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    new[np.r_[0, np.cumsum(sizes)[:-1]]] = True
+    start = np.maximum.accumulate(np.where(new, at, 0))
+    return _mix(flat + (at - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def word_sets(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, toks) of the documents with at least ``min_words`` words; null ids are left out, they can't be paired."""
-    docs = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    found = docs.select("doc_id", words(canonical(F.col("text"))).alias("w")).where(F.size("w") >= min_words)
-    hashed = found.select("doc_id", F.sort_array(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
-    return hashed.mapInPandas(_occurrences, "doc_id bigint, toks array<bigint>")
+
+    def emit(b: pd.DataFrame) -> pd.DataFrame:
+        found = [words_of(t) for t in b["text"]]
+        kept = [i for i, w in enumerate(found) if len(w) >= min_words]
+        if not kept:
+            return pd.DataFrame()
+        sizes = np.array([len(found[i]) for i in kept])
+        flat = hashed([w for i in kept for w in found[i]])
+        owner = np.repeat(np.arange(len(kept)), sizes)
+        flat = flat[np.lexsort((flat, owner))]
+        return pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[kept], "toks": np.split(_occurrences(flat, sizes), np.cumsum(sizes)[:-1])})
+
+    return read(docs, ["doc_id"], emit, "doc_id bigint, toks array<bigint>")
 
 
 def _sketch(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +131,7 @@ def weighted_share(sets: DataFrame, common_tokens: np.ndarray, common_share: np.
     return share if got is None else min(share, got)
 
 
-def _paths(common_tokens: np.ndarray, common_share: np.ndarray, branch: float, most: float, runs: int, levels: int):
+def _paths(common_tokens: np.ndarray, common_share: np.ndarray, branch: float, most: float, runs: int, levels: int, begin: int = 0):
     """A function of batches with (rep, toks, node, size): each row's ends of paths below its node, with its sketch.
 
     A null node is the root, with one start for each run. No path is longer than ``levels``: among records that share
@@ -153,7 +159,7 @@ def _paths(common_tokens: np.ndarray, common_share: np.ndarray, branch: float, m
                 root = part["node"].isna().to_numpy().any()
                 if root:
                     row = np.repeat(np.arange(len(part)), runs)
-                    node = _mix(np.tile(np.arange(1, runs + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), len(part)))
+                    node = _mix(np.tile(np.arange(begin + 1, begin + runs + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93), len(part)))
                 else:
                     row, node = np.arange(len(part)), part["node"].to_numpy(np.int64).view(np.uint64)
                 est = size[row]
@@ -183,13 +189,56 @@ _LEAF = "node bigint, rep bigint, s1 bigint, s2 bigint"
 
 
 def similar_sets(sets: DataFrame, share: float = SHARE, target: float = TARGET) -> DataFrame:
-    """(rep_a, rep_b, shared): pairs of distinct sets (rep, toks) with at least ``share`` of the longer one in common."""
+    """(rep_a, rep_b, shared): pairs of distinct sets (rep, toks) with at least ``share`` of the longer one in common.
+
+    FIRST runs, then MORE at a time until they add less than ``1 - target`` of all pairs: of what is missed then, the same runs would
+    find most, so less is missing than they found. Never more runs than :func:`planned_runs`.
+    """
     n = sets.count()
     held = sets.select(F.explode("toks").alias("tok")).groupBy("tok").count().where(F.col("count") * COMMON > n).toPandas()
     held = held.assign(u=held["tok"].to_numpy(np.int64).view(np.uint64)).sort_values("u") if len(held) else held
     tokens, shares = held["tok"].to_numpy(np.int64), held["count"].to_numpy(float) / max(n, 1)
-    most, runs = math.log(BUCKET / 4), planned_runs(weighted_share(sets, tokens, shares, share), target=target)
-    rows = sets.select("rep", "toks", F.lit(None).cast("bigint").alias("node"), F.lit(n).alias("size")).mapInPandas(_paths(tokens, shares, BRANCH, most, runs, LEVELS), _LEAF)
+    planned = planned_runs(weighted_share(sets, tokens, shares, share), target=target)
+    found, total, done, add = None, 0, 0, min(FIRST, planned)
+    while add:
+        fresh = _checked(_candidates(sets, tokens, shares, n, add, done), sets, share)
+        if found is not None:
+            fresh = fresh.join(found, ["rep_a", "rep_b"], "left_anti")
+        fresh = keep(fresh, "pairs")
+        new = fresh.count()
+        found, total, done = fresh if found is None else found.unionByName(fresh), total + new, done + add
+        add = min(MORE, planned - done) if done == add or new > (1 - target) * total else 0
+    return found
+
+
+def exact_pairs(sets: DataFrame, share: float = SHARE) -> DataFrame:
+    """The result of :func:`similar_sets` with nothing missed, for measuring it and for collections of rare tokens.
+
+    Two sets with ``share`` of the longer one in common share one of the rarest tokens of both, as many as the rest and one more. Sets
+    meet on these; a token in the prefix of very many sets makes this slow where the chosen paths are not.
+    """
+    df = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    rows = sets.select("rep", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(df, "tok")
+    order = Window.partitionBy("rep").orderBy("df", "tok")
+    prefix = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1).select("rep", "n", "tok")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    near = F.least("a.n", "b.n") >= F.lit(share) * F.greatest("a.n", "b.n") - 1e-9
+    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.rep") < F.col("b.rep")) & near)
+    return _checked(met.select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct(), sets, share)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Candidate pairs that do share as much, with what they share."""
+    left = sets.select(F.col("rep").alias("rep_a"), F.col("toks").alias("ta"))
+    right = sets.select(F.col("rep").alias("rep_b"), F.col("toks").alias("tb"))
+    checked = pairs.join(left, "rep_a").join(right, "rep_b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    return checked.where(F.col("shared") >= F.lit(share) * F.greatest(F.size("ta"), F.size("tb")) - 1e-9).select("rep_a", "rep_b", "shared")
+
+
+def _candidates(sets: DataFrame, tokens: np.ndarray, shares: np.ndarray, n: int, runs: int, begin: int) -> DataFrame:
+    """(rep_a, rep_b): pairs that meet in a bucket of one of ``runs`` runs and agree on the sketch, each once."""
+    most = math.log(BUCKET / 4)
+    rows = sets.select("rep", "toks", F.lit(None).cast("bigint").alias("node"), F.lit(n).alias("size")).mapInPandas(_paths(tokens, shares, BRANCH, most, runs, LEVELS, begin), _LEAF)
     ready, rest = [], None
     for turn in range(ROUNDS + 1):
         leaves = keep(rows.distinct().withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("size > 1"), "leaves")
@@ -211,11 +260,7 @@ def similar_sets(sets: DataFrame, share: float = SHARE, target: float = TARGET)
         met = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep")) & near)
         met = met.select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
         pairs = met if pairs is None else pairs.unionByName(met)
-    pairs = pairs.distinct()
-    left = sets.select(F.col("rep").alias("rep_a"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("rep").alias("rep_b"), F.col("toks").alias("tb"))
-    checked = pairs.join(left, "rep_a").join(right, "rep_b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
-    return checked.where(F.col("shared") >= F.lit(share) * F.greatest(F.size("ta"), F.size("tb")) - 1e-9).select("rep_a", "rep_b", "shared")
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
