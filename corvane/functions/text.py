@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -82,7 +83,8 @@ class Analyzer:
     """Options of the search analysis, applied in a fixed order.
 
     fold, drop apostrophes, lower case, tokens, stop words (matched on the surface form), lemma, stem, length.
-    ``lemmas`` and ``stems`` are dictionaries (form to form) of bounded size; a form they lack stays as it is.
+    ``lemmas`` is a dictionary (form to form) of bounded size; a form it lacks stays as it is. ``tagger``, where one is plugged in, maps
+    the token array to an array of parts of speech; a lemma under "form/tag" then goes before one under "form".
     """
 
     lowercase: bool = True
@@ -90,6 +92,7 @@ class Analyzer:
     lemmas: dict[str, str] = field(default_factory=dict, hash=False)
     stem: bool = False
     min_length: int = 2
+    tagger: Callable[[Column], Column] | None = field(default=None, hash=False)
 
     def __call__(self, text: Column) -> Column:
         found = tokens(text, self.lowercase)
@@ -98,7 +101,8 @@ class Analyzer:
             found = F.filter(found, lambda t: ~F.array_contains(stops, F.lower(t)))
         if self.lemmas:
             table = F.from_json(F.lit(json.dumps(self.lemmas)), "map<string,string>")
-            found = F.transform(found, lambda t: F.coalesce(table[F.lower(t)], F.lower(t)))
+            plain = lambda t: F.coalesce(table[F.lower(t)], F.lower(t))
+            found = F.transform(found, plain) if self.tagger is None else F.zip_with(found, self.tagger(found), lambda t, p: F.coalesce(table[F.concat(F.lower(t), F.lit("/"), p)], plain(t)))
         if self.stem:
             from corvane.functions.stemming import stem_tokens
 

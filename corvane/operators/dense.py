@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from corvane.runtime import keep
+
 #: Queries multiplied with all vectors at once; more queries take more passes over the vectors.
 BLOCK = 4096
 
@@ -25,19 +27,38 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _scan(ids: np.ndarray, matrix: np.ndarray, k: int, least: float | None):
+def _blocks(files: list[str], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the stored queries, ``block`` at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for f in files:
+        system, inside = fs.FileSystem.from_uri(f if "://" in f or f.startswith("file:/") else "file://" + f)
+        with system.open_input_file(inside) as source:
+            for part in pq.ParquetFile(source).iter_batches(block):
+                rows = part.to_pandas()
+                if len(rows):
+                    yield rows["query_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(float)
+
+
+def _scan(files: list[str], block: int, k: int, least: float | None):
+    """A function of batches (item, vector): the k best items of each batch for each stored query, one frame a batch and block of queries."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[b["vector"].notna()]
             if not len(b):
                 continue
-            scores = np.round(matrix @ np.stack(b["vector"].to_numpy()).astype(float).T, 6) + 0.0
-            items = b["item"].to_numpy()
-            for q, row in enumerate(scores):
-                at = np.flatnonzero(row > least) if least is not None else np.arange(len(row))
-                at = at[np.lexsort((items[at], -row[at]))[:k]]
-                if len(at):
-                    yield pd.DataFrame({"query_id": ids[q], "doc_id": items[at], "score": row[at]})
+            vectors, items = np.stack(b["vector"].to_numpy()).astype(float).T, b["item"].to_numpy()
+            for ids, matrix in _blocks(files, block):
+                scores = np.round(matrix @ vectors, 6) + 0.0
+                q, at = np.nonzero(scores > least) if least is not None else np.indices(scores.shape).reshape(2, -1)
+                order = np.lexsort((items[at], -scores[q, at], q))
+                q, at = q[order], at[order]
+                first = np.searchsorted(q, q)
+                best = np.arange(len(q)) - first < k
+                if best.any():
+                    yield pd.DataFrame({"query_id": ids[q[best]], "doc_id": items[at[best]], "score": scores[q[best], at[best]]})
 
     return scan
 
@@ -46,23 +67,15 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, item: str = "ve
     """(query_id, doc_id, score, rank): the k vectors with the largest dot product above ``least`` for each of a stated
     set of queries (query_id, vector), ties by the smaller id.
 
-    Queries go in blocks of bounded size; each task multiplies a block with its batch and passes on at most k rows a
-    query, so the shuffle holds k rows for each query and batch. Null vectors match nothing.
+    The queries are written to the shared folder and read by each task in blocks of bounded size; a task multiplies a block with its batch
+    and passes on at most k rows a query, so the shuffle holds k rows for each query and batch. Null vectors match nothing.
     """
-    spark = vectors.sparkSession
     rows = queries.where("vector is not null").select(F.col("query_id"), F.col("vector").cast("array<double>").alias("vector"))
     source = vectors.select(F.col(item).alias("item"), F.col(vector).cast("array<float>").alias("vector"))
     kind = dict(rows.dtypes)["query_id"], dict(source.dtypes)["item"]
     schema = f"query_id {kind[0]}, doc_id {kind[1]}, score double"
-    out = spark.createDataFrame([], schema)
-    held = []
-    flush = lambda held: source.mapInPandas(_scan(np.array([r.query_id for r in held]), np.array([r.vector for r in held], float), k, least), schema)
-    for r in rows.orderBy("query_id").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out, held = out.unionByName(flush(held)), []
-    if held:
-        out = out.unionByName(flush(held))
+    files = keep(rows, "vector_queries").inputFiles()
+    out = source.mapInPandas(_scan(list(files), block, k, least), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.runtime import keep
+
 METRICS = ("map", "ndcg@10", "recall@100", "precision@10")
 SAME = 1e-6
 
@@ -90,9 +93,10 @@ def report(per_query: DataFrame) -> DataFrame:
     return per_query.groupBy("run_label", "metric").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
-def best_per_metric(rep: DataFrame) -> DataFrame:
-    """(metric, run_label, value): the best run of each metric; of equals the first by label."""
-    order = Window.partitionBy("metric").orderBy(F.desc("value"), "run_label")
+def best_per_metric(rep: DataFrame, labels=()) -> DataFrame:
+    """(metric, run_label, value): the best run of each metric; of equals the first in ``labels``, the order of the runs, then by label."""
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("run_label")) if labels else F.lit(0)
+    order = Window.partitionBy("metric").orderBy(F.desc("value"), F.when(place > 0, place).otherwise(len(labels) + 1), "run_label")
     return rep.withColumn("r", F.row_number().over(order)).where("r = 1").select("metric", "run_label", "value")
 
 
@@ -149,18 +153,23 @@ def quality_latency(rep: DataFrame, latency: DataFrame, metric: str) -> DataFram
     return rep.where(F.col("metric") == metric).join(latency, "run_label").select("run_label", "value", "avg_query_ms").orderBy(F.desc("value"), "avg_query_ms", "run_label")
 
 
-def run_all(configs: dict, judged: DataFrame, gold: DataFrame, metrics=METRICS) -> tuple[DataFrame | None, dict[str, str]]:
-    """Per-query values of every configuration (label to a function that returns a run) and the errors of those that fail.
+def run_all(configs: dict, judged: DataFrame, gold: DataFrame, metrics=METRICS) -> tuple[DataFrame | None, dict[str, str], dict[str, float]]:
+    """Per-query values of every configuration (label to a function that returns a run), the errors of those that fail and the
+    mean milliseconds a gold query took in those that do not.
 
-    Labels are unique by construction; metrics are checked first, so that an unknown one fails before any run.
+    Each run is written to the shared folder, since a plan only fails, and only takes time, when it is executed; the others go on. Labels are
+    unique by construction; metrics are checked first, so that an unknown one fails before any run.
     """
     for m in metrics:
         parse_metric(m)
-    runs, errors = None, {}
+    runs, errors, took = None, {}, {}
+    asked = gold.count()
     for label, make in configs.items():
+        began = time.perf_counter()
         try:
-            run = make().select(F.lit(label).alias("run_label"), "query_id", "doc_id", F.col("score").cast("double").alias("score"))
+            run = keep(make().select(F.lit(label).alias("run_label"), "query_id", "doc_id", F.col("score").cast("double").alias("score")), "run")
+            took[label] = (time.perf_counter() - began) * 1000 / max(asked, 1)
             runs = run if runs is None else runs.unionByName(run)
         except Exception as e:
             errors[label] = str(e)
-    return (None if runs is None else evaluate(runs, judged, gold, metrics)), errors
+    return (None if runs is None else evaluate(runs, judged, gold, metrics)), errors, took

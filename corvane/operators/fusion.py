@@ -17,8 +17,22 @@ def pool_size(k: int) -> int:
     return min(max(5 * k, 100), 1000)
 
 
+def validate(mode: str, parts: list[str], weights: list[float] | None = None, first: str | None = None, rerank: str | None = None) -> None:
+    """The rules of a hybrid search: fusion takes two components or more, and a weight for each if any; a serial search re-ranks with
+    another model than it searches with."""
+    if mode not in ("parallel", "serial"):
+        raise ValueError("mode is 'parallel' or 'serial'")
+    if mode == "parallel" and len(parts) < 2:
+        raise ValueError("fusion needs two components or more")
+    if mode == "parallel" and weights is not None and len(weights) != len(parts):
+        raise ValueError("one weight for each component")
+    if mode == "serial" and (not first or not rerank or first == rerank):
+        raise ValueError("a serial search needs two different models")
+
+
 def components(runs: list[DataFrame]) -> DataFrame:
     """Runs (query_id, doc_id, score, rank) as one table with their position ``component``."""
+    validate("parallel", [str(i) for i in range(len(runs))])
     return reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "score", "rank", F.lit(i).alias("component")) for i, r in enumerate(runs)])
 
 

@@ -17,8 +17,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from corvane.functions.records import record_terms
 from corvane.functions.text import content_tokens
+from corvane.runtime import keep
 
 FEATURES, NONE = 20_000, -1
+#: Matrices of columns x rank that reach the driver at once: a bound of its memory.
+SVD_PARTS = 8
 
 
 def not_blank(docs: DataFrame) -> DataFrame:
@@ -105,12 +108,18 @@ class Clusters:
         return some.select("doc_id", F.round(raw[0], 4).alias("x"), F.round(raw[1], 4).alias("y"), F.col("prediction").alias("cluster"))
 
 
+def _sample(tokens: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` documents by a hash of the id, written once to the shared folder over all cores."""
+    some = tokens.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    return keep(some.repartition(tokens.sparkSession.sparkContext.defaultParallelism), "fit_sample")
+
+
 def fit_clusters(docs: DataFrame, k: int = 8, features: int = FEATURES, dims: int = 128, max_docs: int = 20_000, seeds: int = 10, seed: int = 42) -> Clusters:
     """TF-IDF, a truncated SVD and k-means (the best of several starts), fitted on at most ``max_docs`` documents and
     applied to all. Fewer documents than clusters is an error; a vocabulary emptied by its bounds is tried without them.
     """
     tokens = not_blank(docs).select("doc_id", content_tokens(F.col("text")).alias("tokens"))
-    part = tokens.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_docs).persist()
+    part = _sample(tokens, max_docs, seed)
     n = part.count()
     if n < k:
         raise ValueError(f"{n} documents are too few for {k} clusters")
@@ -126,7 +135,7 @@ def fit_clusters(docs: DataFrame, k: int = 8, features: int = FEATURES, dims: in
     project = _projector(v)
     normal = Normalizer(inputCol="raw", outputCol="features")
     vectors = normal.transform(project(scaled))
-    train = normal.transform(project(fit)).select("features").persist()
+    train = keep(normal.transform(project(fit)).select("features"), "fit_vectors")
     best = min((KMeans(k=k, seed=seed + i, maxIter=30).fit(train) for i in range(seeds)), key=lambda m: m.summary.trainingCost)
     return Clusters(terms, vectors.select("doc_id", "raw", "features", "known"), best, space)
 
@@ -148,10 +157,10 @@ def right_singular_vectors(fit: DataFrame, columns: int, rank: int, seed: int =
     """The leading right singular vectors (columns x rank) of the rows' sparse vectors, by subspace iteration.
 
     Each pass adds up, for every part of the bounded fitting sample, its product with the current subspace; what reaches the
-    driver is a matrix of columns x rank for each of at most eight parts, whatever the corpus.
+    driver is a matrix of columns x rank for each of at most SVD_PARTS parts, whatever the corpus.
     """
     width = min(rank + extra, columns)
-    rows = _sparse(fit).select("_p.indices", "_p.values").coalesce(8).persist()
+    rows = keep(_sparse(fit).select("_p.indices", "_p.values"), "fit_entries").coalesce(SVD_PARTS)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, width)))[0]
 
     def product(v: np.ndarray) -> np.ndarray:
@@ -169,7 +178,6 @@ def right_singular_vectors(fit: DataFrame, columns: int, rank: int, seed: int =
     for _ in range(passes):
         basis = np.linalg.qr(product(basis))[0]
     values, turn = np.linalg.eigh(basis.T @ product(basis))
-    rows.unpersist()
     found = basis @ turn[:, np.argsort(-values)[:rank]]
     return found * np.sign(found[np.abs(found).argmax(0), np.arange(found.shape[1])])
 
@@ -191,7 +199,7 @@ def fit_topics(docs: DataFrame, topics: int = 10, features: int = FEATURES, max_
     There is no retry without the frequency bounds: an empty vocabulary is an error.
     """
     tokens = not_blank(docs).select("doc_id", content_tokens(F.col("text")).alias("tokens"))
-    part = tokens.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_docs).persist()
+    part = _sample(tokens, max_docs, seed)
     terms = sorted(r.term for r in vocabulary(part, 2, max_df, features).collect())
     if not terms:
         raise ValueError("no term is left")

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.records import record_terms
-from corvane.runtime import spread
+from corvane.runtime import keep, spread
 
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf), doc_stats (doc_id, dl) and terms (term, df, cf); documents without tokens keep length 0."""
+    """postings (doc_id, term, tf, dl), doc_stats (doc_id, dl) and terms (term, df, cf); documents without tokens keep length 0.
+
+    A posting carries the length of its document, so ranking joins no document table.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -33,9 +36,19 @@ def tokenised(docs: DataFrame, analyzer, text: str = "text") -> DataFrame:
 
 def build_index(tokens: DataFrame) -> Index:
     """The index of (doc_id, tokens). Postings are counted within each document; only term statistics are shuffled."""
-    postings = record_terms(tokens, ["doc_id"], F.col("tokens"))
+    sized = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    postings = record_terms(sized, ["doc_id", "dl"], F.col("tokens")).select("doc_id", "term", "tf", "dl")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return Index(postings, tokens.select("doc_id", F.size("tokens").cast("long").alias("dl")), terms)
+    return Index(postings, sized.select("doc_id", "dl"), terms)
+
+
+def kept_index(tokens: DataFrame) -> Index:
+    """:func:`build_index` written to the shared folder: texts are analysed once, however many rankings follow."""
+    index = build_index(tokens)
+    postings = keep(index.postings, "index_postings")
+    empty = keep(tokens.where(F.size("tokens") == 0).select("doc_id", F.lit(0).cast("long").alias("dl")), "index_empty")
+    stats = postings.groupBy("doc_id").agg(F.first("dl").alias("dl")).unionByName(empty)
+    return Index(postings, keep(stats, "index_stats"), keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "index_terms"))
 
 
 def query_terms(queries: DataFrame, analyzer, text: str = "text") -> DataFrame:
@@ -66,9 +79,9 @@ def boolean_match(index: Index, terms: DataFrame, operator: str = "and") -> Data
 
 def boolean_top(matches: DataFrame, k: int) -> DataFrame:
     """The first k matches of each query, most terms first, then smaller doc_id, with the number of all matches."""
-    every = Window.partitionBy("query_id")
-    ranked = matches.withColumn("total", F.count(F.lit(1)).over(every)).withColumn("rank", F.row_number().over(every.orderBy(F.desc("matched"), "doc_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "doc_id", "matched", "rank", "total")
+    # the number is an aggregate of its own, so that the limit of each query can be applied before the shuffle
+    ranked = matches.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id"))).where(F.col("rank") <= k)
+    return ranked.join(matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), "query_id").select("query_id", "doc_id", "matched", "rank", "total")
 
 
 def matched_terms(index: Index, queries: DataFrame, analyzer, text: str = "text") -> DataFrame:

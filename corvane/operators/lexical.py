@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.index import Index, number
@@ -22,18 +22,19 @@ def bm25_idf(index: Index, n: int, min_df: int = 1) -> DataFrame:
     return index.terms.where(F.col("df") >= min_df).select("term", "df", F.log(1.0 + (number(n) - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def bm25_scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B, min_df: int = 1, candidates: DataFrame | None = None, params: DataFrame | None = None) -> DataFrame:
+def bm25_scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B, min_df: int = 1, candidates: DataFrame | None = None, params: DataFrame | None = None, rest: bool = False) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with the query (query_id, term, qtf).
 
     A repeated query term counts as often. ``candidates`` (query_id, doc_id) restricts documents before anything is
-    scored. ``params`` (k1, b), a small grid, scores all its rows in one job and adds its columns to the key.
+    scored; with ``rest``, queries without any candidate search all documents. ``params`` (k1, b), a small grid, scores all its rows in one job and adds its columns to the key.
     """
     n, avgdl = corpus_size(index)
     weights = terms.join(bm25_idf(index, n, min_df), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     hits = index.postings.join(weights, "term")
     if candidates is not None:
-        hits = hits.join(candidates.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
-    hits = hits.join(index.doc_stats, "doc_id")
+        pool = candidates.select("query_id", "doc_id").distinct()
+        inside = hits.join(pool, ["query_id", "doc_id"], "left_semi")
+        hits = inside.unionByName(hits.join(pool.select("query_id").distinct(), "query_id", "left_anti")) if rest else inside
     key = ["query_id", "doc_id"]
     if params is None:
         hits, kk, bb = hits, number(k1), number(b)
@@ -62,8 +63,8 @@ def tfidf_idf(index: Index, n: int, min_df: int = 1, max_df: float = 1.0) -> Dat
 def _unit(rows: DataFrame, key: str, tf: str, idf: DataFrame, sublinear: bool) -> DataFrame:
     weight = (1.0 + F.log(F.col(tf).cast("double"))) if sublinear else F.col(tf).cast("double")
     raw = rows.join(idf, "term").select(key, "term", (weight * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # one document or query: as long as its terms
+    return raw.select(key, "term", (F.col("w") / norm).alias("w"))
 
 
 def tfidf_weights(index: Index, n: int, sublinear: bool = True, min_df: int = 1, max_df: float = 1.0) -> DataFrame:

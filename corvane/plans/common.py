@@ -26,7 +26,7 @@ def asked(spark, d, name: str = "queries", key: str = "query_id") -> DataFrame:
 
 def index_of(spark, d, where=None) -> ix.Index:
     docs = table(spark, d, "documents").select("doc_id", "seq", "text")
-    return ix.build_index(ix.tokenised(docs if where is None else docs.where(where), ANALYZER))
+    return ix.kept_index(ix.tokenised(docs if where is None else docs.where(where), ANALYZER))
 
 
 def terms_asked(spark, d) -> DataFrame:

@@ -12,6 +12,8 @@ from corvane.plans.common import ANALYZER, asked, bm25_run, index_of, sql_bm25,
 from corvane.plans.sqltext import quoted
 from corvane.sources.tables import table
 
+#: The runs in the order in which they were made.
+RUNS = ("bm25", "tfidf", "bert", "hybrid_rrf")
 DEPTHS = ("map", "ndcg@1", "ndcg@5", "ndcg@10", "ndcg@20", "recall@10", "recall@100", "precision@10", "p@5", "ndcg", "recall")
 K1S, BS = [0.6, 1.2, 1.8], [0.3, 0.75]
 #: Measured latencies stand in for a service that is not here.
@@ -94,7 +96,7 @@ def _thesaurus(s):
 
 def synonym_expand(s, d):
     words = table(s, d, "queries").select("query_id", F.posexplode(refine.refine_tokens(F.col("text"))).alias("pos", "corrected"))
-    return refine.synonyms(words, _thesaurus(s), STOP_WORDS, 1)
+    return refine.synonyms(words, _thesaurus(s), STOP_WORDS, 1).drop("place")
 
 
 def refine_query(s, d):
@@ -111,7 +113,7 @@ QUERIES = {
     "eval_per_query": lambda s, d: _per_query(s, d).where(F.col("run_label").isin("bm25", "tfidf")),
     "eval_report": _report,
     "report_tidy": lambda s, d: _report(s, d, DEPTHS),
-    "best_per_metric": lambda s, d: ev.best_per_metric(_report(s, d)),
+    "best_per_metric": lambda s, d: ev.best_per_metric(_report(s, d), RUNS),
     "report_delta": report_delta,
     "depth_curve": lambda s, d: ev.depth_curves(_report(s, d, DEPTHS)),
     "win_tie_loss": lambda s, d: ev.win_tie_loss(_per_query(s, d), "bm25", "tfidf"),
@@ -178,12 +180,13 @@ sc AS MATERIALIZED (SELECT query_id, pos, word, CASE WHEN term IS NULL OR term =
     stops = sql_list(STOP_WORDS)
 
     def syn(source: str, most: int) -> str:
-        return f"""wt AS (SELECT query_id, pos, lower(corrected) AS term FROM {source}),
-fs AS (SELECT wt.query_id, wt.pos, wt.term, ord, lower(synonym) AS synonym FROM wt JOIN {th} ON wt.term = t.term
-  WHERE length(wt.term) >= 3 AND NOT list_contains({stops}, wt.term) AND length(synonym) >= 3 AND regexp_full_match(lower(synonym), '[a-z]+') AND NOT list_contains({stops}, lower(synonym)) AND lower(synonym) <> wt.term
-  AND NOT EXISTS (SELECT 1 FROM wt o WHERE o.query_id = wt.query_id AND o.term = lower(synonym))),
-f1 AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY query_id, synonym ORDER BY pos, ord) = 1),
-sy AS (SELECT query_id, pos, term, synonym FROM f1 QUALIFY row_number() OVER (PARTITION BY query_id, pos ORDER BY ord, synonym) <= {most})"""
+        named = entity.replace("word", "corrected")
+        return f"""wt AS (SELECT query_id, pos, corrected, lower(corrected) AS term FROM {source}),
+tn AS (SELECT term, lower(replace(synonym, '_', ' ')) AS synonym, min(ord) AS ord FROM {th} WHERE NOT contains(replace(synonym, '_', ' '), ' ') AND lower(synonym) <> term GROUP BY ALL),
+ft AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord, synonym) AS place FROM tn QUALIFY place <= {most}),
+fs AS (SELECT wt.query_id, wt.pos, wt.term, place, synonym FROM wt JOIN ft USING (term)
+  WHERE length(wt.term) >= 3 AND NOT list_contains({stops}, wt.term) AND NOT {named} AND NOT EXISTS (SELECT 1 FROM wt o WHERE o.query_id = wt.query_id AND o.term = synonym)),
+sy AS (SELECT query_id, pos, place, term, synonym FROM fs QUALIFY row_number() OVER (PARTITION BY query_id, synonym ORDER BY pos, place) = 1)"""
 
     return {
         "eval_gold": "WITH " + judged + " SELECT query_id FROM gold",
@@ -195,7 +198,7 @@ sy AS (SELECT query_id, pos, term, synonym FROM f1 QUALIFY row_number() OVER (PA
         "eval_per_query": standard + plain + " WHERE run_label IN ('bm25', 'tfidf')",
         "eval_report": standard + mean + " SELECT * FROM rp",
         "report_tidy": everything + mean + " SELECT * FROM rp",
-        "best_per_metric": standard + mean + " SELECT metric, run_label, value FROM rp QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, run_label) = 1",
+        "best_per_metric": standard + mean + " SELECT metric, run_label, value FROM rp QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, coalesce(list_position(" + sql_list(RUNS) + ", run_label), 99), run_label) = 1",
         "report_delta": f"SELECT run_label, metric, a.value AS before, b.value AS after, round(b.value - a.value, 9) AS delta, CASE WHEN round(b.value - a.value, 9) > 1e-6 THEN 'up' WHEN round(b.value - a.value, 9) < -1e-6 THEN 'down' ELSE 'same' END AS direction FROM ({standard + mean} SELECT * FROM rp) a JOIN ({strict} SELECT * FROM rp) b USING (run_label, metric)",
         "depth_curve": everything + mean + " SELECT run_label, split_part(metric, '@', 1) AS family, split_part(metric, '@', 2)::INT AS k, value FROM rp WHERE contains(metric, '@') QUALIFY count(*) OVER (PARTITION BY run_label, split_part(metric, '@', 1)) >= 2",
         "win_tie_loss": standard + pair + " SELECT metric, sum((diff > 1e-6)::INT)::BIGINT AS wins, sum((abs(diff) <= 1e-6)::INT)::BIGINT AS ties, sum((diff < -1e-6)::INT)::BIGINT AS losses FROM df GROUP BY metric",
@@ -209,7 +212,7 @@ SELECT run_label, 'worst' AS kind, lo AS place, query_id, value FROM y WHERE lo
         "spell_correct": spell + " SELECT query_id, pos::INT AS pos, word, corrected FROM sc",
         "synonym_expand": f"WITH {words}, {syn('(SELECT query_id, pos, word AS corrected FROM wd)', 1)} SELECT query_id, pos::INT AS pos, term, synonym FROM sy",
         "refine_query": spell + ", " + syn("sc", 2).replace("WITH ", "") + """, ln AS (SELECT query_id, string_agg(corrected, ' ' ORDER BY pos) AS corrected, bool_or(word <> corrected) AS spelled FROM sc GROUP BY query_id),
-ad AS (SELECT query_id, string_agg(synonym, ' ' ORDER BY pos, synonym) AS added FROM sy GROUP BY query_id),
+ad AS (SELECT query_id, string_agg(synonym, ' ' ORDER BY pos, place) AS added FROM sy GROUP BY query_id),
 al AS (SELECT query_id, text AS original, coalesce(corrected, '') AS corrected, trim(concat_ws(' ', coalesce(corrected, ''), coalesce(added, '')), ' ') AS refined, coalesce(spelled, false) AS spelled, coalesce(added, '') <> '' AS expanded FROM queries LEFT JOIN ln USING (query_id) LEFT JOIN ad USING (query_id))
-SELECT query_id, original, corrected, refined, CASE WHEN refined <> '' AND lower(refined) <> lower(trim(coalesce(original, ''), ' ')) THEN refined END AS suggestion, concat_ws(',', CASE WHEN spelled THEN 'spelling' END, CASE WHEN expanded THEN 'synonyms' END) AS applied FROM al""",
+SELECT query_id, original, corrected, refined, CASE WHEN corrected <> '' AND lower(corrected) <> lower(trim(coalesce(original, ''), ' ')) THEN corrected END AS suggestion, concat_ws(',', CASE WHEN spelled THEN 'spell_correction' END, CASE WHEN expanded THEN 'synonym_expansion' END) AS applied FROM al""",
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -21,16 +21,31 @@ def _content(s, d):
     return groups.not_blank(_docs(s, d)).select("doc_id", content_tokens(F.col("text")).alias("tokens"))
 
 
-@cache
-def _clusters(s, d):
+def _state(s, d) -> tuple:
+    """What is stored as ``documents``: a model answers only for the very files it was fitted on."""
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
+@lru_cache(maxsize=2)
+def _fitted_clusters(s, d, state):
     return groups.fit_clusters(_docs(s, d), k=8)
 
 
-@cache
-def _topics(s, d):
+@lru_cache(maxsize=2)
+def _fitted_topics(s, d, state):
     return groups.fit_topics(_docs(s, d), topics=10)
 
 
+def _clusters(s, d):
+    return _fitted_clusters(s, d, _state(s, d))
+
+
+def _topics(s, d):
+    return _fitted_topics(s, d, _state(s, d))
+
+
 def topic_infer(s, d):
     _, model, vectors = _topics(s, d)
     return groups.topic_mixtures(model, vectors)

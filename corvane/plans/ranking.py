@@ -180,16 +180,16 @@ def prune_intersect(s, d):
 
 
 def prune_union_fallback(s, d):
-    """Documents in German against documents of the largest source whose set never meets them: the union remains."""
+    """The German documents of a query's sources and the Spanish ones of its languages never meet: the union remains."""
+    by_source, by_lang = _members(s, d)
     docs = table(s, d, "documents")
-    q = asked(s, d).select("query_id")
-    german = q.join(docs.where("lang = 'de'").select("doc_id"))
-    spanish = q.join(docs.where("lang = 'es'").select("doc_id"))
-    return fusion.prune(german, spanish)
+    german, spanish = docs.where("lang = 'de'").select("doc_id"), docs.where("lang = 'es'").select("doc_id")
+    return fusion.prune(by_source.join(german, "doc_id", "left_semi"), by_lang.join(spanish, "doc_id", "left_semi"))
 
 
 def pruned_bm25(s, d):
-    return bm25_run(s, d, TOP, candidates=prune_intersect(s, d))
+    """Queries without a candidate search all documents."""
+    return bm25_run(s, d, TOP, candidates=prune_intersect(s, d), rest=True)
 
 
 def nearest_members(s, d):
@@ -307,8 +307,8 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
         "hybrid_serial": both + serial("st"),
         "hybrid_serial_fallback": both + serial("(SELECT doc_id FROM documents WHERE dataset = 'polyglot/dev')"),
         "prune_intersect": "WITH " + members + " SELECT query_id, doc_id FROM pr",
-        "prune_union_fallback": f"SELECT query_id, doc_id FROM queries, documents WHERE query_id::BIGINT % {ASKED} = 0 AND documents.lang IN ('de', 'es')",
-        "pruned_bm25": bm + f", {members}, bp AS (SELECT bm.* FROM bm JOIN pr USING (query_id, doc_id)) " + sql_top("bp", TOP),
+        "prune_union_fallback": "WITH " + members + " SELECT query_id, doc_id FROM ms JOIN documents USING (doc_id) WHERE lang = 'de' UNION SELECT query_id, doc_id FROM ml JOIN documents USING (doc_id) WHERE lang = 'es'",
+        "pruned_bm25": bm + f", {members}, bp AS (SELECT bm.* FROM bm JOIN pr USING (query_id, doc_id) UNION ALL SELECT * FROM bm WHERE query_id NOT IN (SELECT query_id FROM pr)) " + sql_top("bp", TOP),
         "nearest_members": vq + unit + f""", ds AS (SELECT query_id, group_id, round(sqrt({sq('vq.v', 'cu.v')}), 6) AS distance FROM vq, cu),
 nr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, group_id) AS r FROM ds)
 SELECT query_id, vec_id AS doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY r, vec_id))::INT AS pos FROM nr JOIN embeddings ON label = group_id WHERE r <= 2""",

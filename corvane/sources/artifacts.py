@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 import json
 import time
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.runtime import keep, rows_of
 
 
 class NotBuilt(LookupError):
@@ -109,6 +115,104 @@ class Artifacts:
         return json.loads("\n".join(r.value for r in self.spark.read.text(path).collect()))
 
 
+class Reports:
+    """Saved evaluation reports: a JSON body, a CSV table of the runs that did not fail, and a sidecar of per-query values.
+
+    Files are written beside and renamed, the body last, so a listed report is whole.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _put(self, name: str, text: str) -> None:
+        fs, beside = _fs(self.spark, f"{self.folder}/{name}.part")
+        out = fs.create(beside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        target = _fs(self.spark, f"{self.folder}/{name}")[1]
+        fs.delete(target, False)
+        fs.rename(beside, target)
+
+    def save(self, report: DataFrame, per_query: DataFrame | None = None, errors: dict[str, str] | None = None, label: str = "", took: dict[str, float] | None = None) -> str:
+        """Store (run_label, metric, value) with the errors of failed runs and the times of the others; the new report's id."""
+        rows = rows_of(report.select("run_label", "metric", "value").orderBy("run_label", "metric"), 100_000)
+        name = f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}{time.time_ns() % 10**9:09d}-{uuid.uuid4().hex[:8]}"
+        runs = {}
+        for r in rows:
+            runs.setdefault(r.run_label, {"label": r.run_label, "metrics": {}, "avg_query_ms": (took or {}).get(r.run_label), "error": None})["metrics"][r.metric] = r.value
+        failed = [{"label": k, "metrics": None, "avg_query_ms": None, "error": e} for k, e in (errors or {}).items()]
+        text = io.StringIO()
+        table = csv.writer(text, lineterminator="\n")
+        table.writerows([("run_label", "metric", "value"), *((r.run_label, r.metric, r.value) for r in rows)])
+        if per_query is not None:
+            per_query.write.parquet(f"{self.folder}/{name}.per_query")
+        self._put(f"{name}.csv", text.getvalue())
+        self._put(f"{name}.json", json.dumps({"id": name, "label": label, "runs": [*runs.values(), *failed]}, sort_keys=True))
+        return name
+
+    def ids(self) -> list[str]:
+        """Whole reports, newest first."""
+        fs, p = _fs(self.spark, self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((n.removesuffix(".json") for n in names if n.endswith(".json")), reverse=True)
+
+    def load(self, name: str) -> dict:
+        if name not in self.ids():
+            raise NotBuilt(name)
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.folder}/{name}.json").collect()))
+
+    def table(self, name: str) -> DataFrame:
+        """(run_label, metric, value) of a stored report."""
+        return self.spark.read.schema("run_label string, metric string, value double").option("header", True).csv(f"{self.folder}/{name}.csv")
+
+    def per_query(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.per_query")
+
+    def delete(self, name: str) -> bool:
+        """Remove a report, its body first; False if there is none."""
+        there = name in self.ids()
+        for end in (".json", ".csv", ".per_query"):
+            fs, p = _fs(self.spark, f"{self.folder}/{name}{end}")
+            fs.delete(p, True)
+        return there
+
+
+def delete_dataset(spark: SparkSession, tables: dict[str, str], dataset: str, artifacts: Artifacts | None = None) -> dict[str, int]:
+    """Rows removed of each table (name to folder, stored by dataset), and the number of artifacts that went with them."""
+    gone = {}
+    for name, path in tables.items():
+        fs, p = _fs(spark, path)
+        parts = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and unquote(s.getPath().getName()) == f"dataset={dataset}"] if fs.exists(p) else []
+        gone[name] = sum(spark.read.parquet(x.toString()).count() for x in parts)
+        for x in parts:
+            fs.delete(x, True)
+    if artifacts is not None:
+        gone["artifacts"] = artifacts.delete(dataset)
+    return gone
+
+
+def reingest(spark: SparkSession, tables: dict[str, str], dataset: str, rows: dict[str, DataFrame], artifacts: Artifacts | None = None, force: bool = False) -> dict[str, int]:
+    """Store (name to rows) of one dataset. Rows already there are a :class:`Conflict` unless ``force`` removes them, with all artifacts, first; the
+    rows stored of each table. Nothing is removed before all new rows are written beside."""
+    there = {n: _fs(spark, p)[0].exists(_fs(spark, p)[1]) and not spark.read.parquet(p).where(F.col("dataset") == dataset).isEmpty() for n, p in tables.items()}
+    if any(there.values()) and not force:
+        raise Conflict(f"{dataset} is there already")
+    fresh = {n: keep(r.where(F.col("dataset") == dataset), "reingest") for n, r in rows.items()}
+    if any(there.values()):
+        delete_dataset(spark, tables, dataset, artifacts)
+    for n, r in fresh.items():
+        r.repartitionByRange("seq").sortWithinPartitions("seq").write.mode("append").partitionBy("dataset").parquet(tables[n])
+    return {n: r.count() for n, r in fresh.items()}
+
+
+def complete(store: Artifacts, dataset: str) -> bool:
+    """Whether a manifest says that the dataset was fetched whole: only then may it be ingested."""
+    try:
+        return bool(store.read_json(dataset, "manifest")["complete"])
+    except NotBuilt:
+        return False
+
+
 def write_manifest(store: Artifacts, dataset: str, doc_count: int, complete: bool) -> None:
     store.write_json({"dataset_id": dataset, "doc_count": doc_count, "complete": complete, "downloaded_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}, dataset, "manifest")
 

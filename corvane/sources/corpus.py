@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.runtime import keep
+
 
 class DuplicateKeys(ValueError):
     """Rows to be stored repeat a key that must be unique."""
@@ -43,7 +45,8 @@ def with_positions(rows: DataFrame, order: Sequence[str], position: str = "seq",
     numbered by many tasks: the partition sizes, one row a partition, are all that is gathered.
     """
     key = [within] if within else []
-    parted = rows.repartitionByRange(*key, *order).withColumn("_p", F.spark_partition_id())
+    # written once: both branches below must see the same partitioning
+    parted = keep(rows.repartitionByRange(*key, *order).withColumn("_p", F.spark_partition_id()), "parted")
     local = Window.partitionBy("_p", *key).orderBy(*order)
     numbered = parted.withColumn("_n", F.row_number().over(local) - 1)
     before = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1) if key else Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,11 +63,14 @@ def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def store(rows: DataFrame, path: str, key: Sequence[str], order: str = "seq") -> None:
-    """Write a table partitioned by dataset and sorted by position; repeated keys are refused before anything is written."""
+    """Write a table partitioned by dataset and sorted by position; repeated keys are refused before anything is written.
+
+    Rows are range-partitioned by dataset and position, so a large dataset is written by many tasks.
+    """
     first = duplicate_keys(rows, key).first()
     if first is not None:
         raise DuplicateKeys(f"repeated key: {first.asDict()}")
-    rows.repartition("dataset").sortWithinPartitions("dataset", order).write.partitionBy("dataset").parquet(path)
+    rows.repartitionByRange("dataset", order).sortWithinPartitions("dataset", order).write.partitionBy("dataset").parquet(path)
 
 
 def page(rows: DataFrame, offset: int, limit: int, dataset: str | None = None) -> DataFrame:

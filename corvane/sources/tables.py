@@ -1,4 +1,4 @@
-"""Schemas and scans of the stored tables. Schemas are stated, never inferred from data."""
+"""Scans of the stored tables, with the schema their files state, and the schemas they are expected to have."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Scan one table; the schema is the stored one where SCHEMAS states none."""
+    """Scan one table."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ from corvane.operators.index import build_index, tokenised
 
 def append_postings(batch: DataFrame, batch_id: int, path: str, analyzer) -> None:
     """Write the postings of one micro-batch under its own number, so that a batch that runs again replaces itself."""
-    build_index(tokenised(batch, analyzer)).postings.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    build_index(tokenised(batch, analyzer)).postings.drop("dl").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def start_index_stream(spark: SparkSession, source: str, path: str, progress: str, analyzer, files: int = 1000):

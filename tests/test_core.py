@@ -153,8 +153,11 @@ def test_metrics(spark):
     for bad in ("map@0", "bpref", "ndcg@x"):
         with pytest.raises(ValueError):
             ev.parse_metric(bad)
-    out, errors = ev.run_all({"ok": lambda: runs.where("run_label = 'perfect'"), "bad": lambda: 1 / 0}, judged, gold)
-    assert list(errors) == ["bad"] and out.select("run_label").distinct().count() == 1
+    late = lambda: runs.withColumn("score", F.expr("assert_true(score > 0)").cast("double"))
+    out, errors, took = ev.run_all({"late": late, "ok": lambda: runs.where("run_label = 'perfect'"), "bad": lambda: 1 / 0}, judged, gold)
+    assert sorted(errors) == ["bad", "late"] and out.select("run_label").distinct().count() == 1 and list(took) == ["ok"] and took["ok"] > 0
+    tied = spark.createDataFrame([("b", "map", 0.5), ("a", "map", 0.5)], "run_label string, metric string, value double")
+    assert ev.best_per_metric(tied, ("b", "a")).first().run_label == "b" and ev.best_per_metric(tied).first().run_label == "a"
 
 
 def test_refine(spark):
@@ -163,7 +166,7 @@ def test_refine(spark):
     words = {r.word: r.corrected for r in refine.correct(q, d).collect()}
     assert words == {"Infromation": "Information", "at": "at", "MIT": "MIT", "about": "about", "iPhone": "iPhone", "by": "by", "Bloomberg": "Bloomberg", "don't": "don't", "top": "top"}
     out = {r.query_id: r for r in refine.refine(q, d).collect()}
-    assert out["1"].applied == "spelling" and out["2"].refined == "" and out["3"].suggestion is None
+    assert out["1"].applied == "spell_correction" and out["2"].refined == "" and out["3"].suggestion is None
 
 
 def test_orphans_by_match_rule(spark):
@@ -217,3 +220,82 @@ def test_small_tables_are_checked(spark):
     with pytest.raises(ValueError):
         rows_of(spark.range(4), 3)
     assert shared_folder(spark)
+
+
+def test_near_distance_equals_brute_force(spark):
+    def osa(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    words = ["table", "tabel", "atbel", "tale", "tablet", "tbale", "stable", "cable", "batle", "tables", "xyz", "a", "ab", "ba"]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for r in pairs.withColumn("d", refine.near_distance(F.col("a"), F.col("b"))).collect():
+        assert (r.d if r.d is not None else 3) == min(osa(r.a, r.b), 3), r
+
+
+def test_synonyms_are_taken_before_present_words_are_dropped(spark):
+    words = spark.createDataFrame([("1", 0, "good"), ("1", 1, "fine"), ("1", 2, "Good"), ("2", 0, "Good")], "query_id string, pos int, corrected string")
+    more = spark.createDataFrame([("good", 1, "well_known"), ("good", 2, "fine"), ("good", 3, "the"), ("good", 4, "sound")], "term string, ord int, synonym string")
+    got = {(r.query_id, r.pos, r.place, r.synonym) for r in refine.synonyms(words, more, ("the",), 2).collect()}
+    assert got == {("1", 0, 2, "the"), ("2", 0, 1, "fine"), ("2", 0, 2, "the")}
+
+
+def test_hybrid_rules():
+    fusion.validate("parallel", ["a", "b"], [1.0, 2.0])
+    fusion.validate("serial", [], first="a", rerank="b")
+    for bad in (("parallel", ["a"]), ("parallel", ["a", "b"], [1.0]), ("serial", [], None, "a", "a"), ("both", ["a", "b"])):
+        with pytest.raises(ValueError):
+            fusion.validate(*bad)
+
+
+def test_lemma_by_part_of_speech(spark):
+    tag = lambda found: F.transform(found, lambda t, i: F.when(i == 0, "n").otherwise("v"))
+    a = T.Analyzer(lemmas={"saw/v": "see", "saw": "saw", "dogs": "dog"}, tagger=tag)
+    assert spark.createDataFrame([("saw saw dogs",)], "t string").select(a(F.col("t"))).first()[0] == ["saw", "see", "dog"]
+
+
+def test_pruned_queries_without_candidates_search_all(spark):
+    docs = spark.createDataFrame([(1, "cats run"), (2, "cats sleep")], "doc_id bigint, text string")
+    index = ix.kept_index(ix.tokenised(docs, T.Analyzer()))
+    terms = ix.query_terms(spark.createDataFrame([("a", "cats"), ("b", "cats")], "query_id string, text string"), T.Analyzer())
+    pool = spark.createDataFrame([("a", 2)], "query_id string, doc_id bigint")
+    got = {(r.query_id, r.doc_id) for r in lexical.bm25_scores(index, terms, candidates=pool, rest=True).collect()}
+    assert got == {("a", 2), ("b", 1), ("b", 2)}
+    assert {(r.doc_id, r.dl) for r in index.doc_stats.collect()} == {(1, 2), (2, 2)}
+
+
+def test_report_store(spark, tmp_path):
+    from corvane.sources.artifacts import NotBuilt, Reports
+
+    store = Reports(spark, str(tmp_path / "reports"))
+    assert store.ids() == []
+    rep = spark.createDataFrame([("bm25", "map", 0.5)], "run_label string, metric string, value double")
+    one = store.save(rep, rep.withColumnRenamed("metric", "query_id"), {"bert": "no model"}, "first", {"bm25": 3.0})
+    two = store.save(rep)
+    assert store.ids() == [two, one]
+    body = store.load(one)
+    assert [(r["label"], r["error"]) for r in body["runs"]] == [("bm25", None), ("bert", "no model")] and body["runs"][0]["avg_query_ms"] == 3.0
+    assert [tuple(r) for r in store.table(one).collect()] == [("bm25", "map", 0.5)] and store.per_query(one).count() == 1
+    assert store.delete(one) and not store.delete(one) and store.ids() == [two]
+    with pytest.raises(NotBuilt):
+        store.load(one)
+
+
+def test_datasets_are_deleted_and_ingested_again(spark, tmp_path):
+    from corvane.sources import artifacts
+
+    docs = spark.createDataFrame([("a/x", i, i) for i in range(5)] + [("b", 0, 9)], "dataset string, seq bigint, doc_id bigint")
+    tables, built = {"documents": str(tmp_path / "documents")}, artifacts.Artifacts(spark, str(tmp_path / "built"))
+    corpus.store(docs, tables["documents"], ["dataset", "seq"])
+    built.write(docs, "a/x", "index")
+    with pytest.raises(artifacts.Conflict):
+        artifacts.reingest(spark, tables, "a/x", {"documents": docs}, built)
+    assert artifacts.reingest(spark, tables, "a/x", {"documents": docs.where("seq < 2")}, built, force=True) == {"documents": 2}
+    assert not built.exists("a/x", "index") and spark.read.parquet(tables["documents"]).count() == 3
+    assert artifacts.delete_dataset(spark, tables, "a/x", built) == {"documents": 2, "artifacts": 0}
+    assert spark.read.parquet(tables["documents"]).count() == 1 and not artifacts.complete(built, "a/x")
