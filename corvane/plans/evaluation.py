@@ -8,7 +8,7 @@ from corvane.functions.text import STOP_WORDS
 from corvane.operators import evaluate as ev
 from corvane.operators import index as ix
 from corvane.operators import lexical, refine
-from corvane.plans.common import ANALYZER, asked, bm25_run, index_of, sql_bm25, sql_index, sql_list, terms_asked
+from corvane.plans.common import ANALYZER, ASKED, asked, bm25_run, index_of, search_tokens, sql_bm25, sql_index, sql_list, sql_top, terms_asked
 from corvane.plans.sqltext import quoted
 from corvane.sources.tables import table
 
@@ -188,7 +188,15 @@ fs AS (SELECT wt.query_id, wt.pos, wt.term, place, synonym FROM wt JOIN ft USING
   WHERE length(wt.term) >= 3 AND NOT list_contains({stops}, wt.term) AND NOT {named} AND NOT EXISTS (SELECT 1 FROM wt o WHERE o.query_id = wt.query_id AND o.term = synonym)),
 sy AS (SELECT query_id, pos, place, term, synonym FROM fs QUALIFY row_number() OVER (PARTITION BY query_id, synonym ORDER BY pos, place) = 1)"""
 
+    scored = sql_bm25()
+    again = scored[scored.index("bm AS MATERIALIZED"):].replace("bm AS MATERIALIZED", "b2 AS MATERIALIZED").replace("FROM qt JOIN", "FROM q2 JOIN")
+    fixed = f"""rq AS (SELECT query_id, string_agg(corrected, ' ' ORDER BY pos) AS text FROM sc WHERE query_id::BIGINT % {ASKED} = 0 GROUP BY query_id),
+q2 AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({search_tokens('text')}) AS term FROM rq) GROUP BY query_id, term)"""
+    refined_base = spell + scored + ", " + fixed + ", " + again + ", " + judged.replace("WHERE query_id IN (SELECT query_id FROM jd))", f"WHERE query_id IN (SELECT query_id FROM jd) AND query_id::BIGINT % {ASKED} = 0)")
+    refined_run = f"run AS (SELECT 'plain' AS run_label, query_id, doc_id, score FROM ({sql_top('bm', 100)}) UNION ALL SELECT 'refined' AS run_label, query_id, doc_id, score FROM ({sql_top('b2', 100)}))"
+
     return {
+        "eval_refined": per_query(ev.METRICS, run=refined_run, base=refined_base) + mean + " SELECT * FROM rp",
         "eval_gold": "WITH " + judged + " SELECT query_id FROM gold",
         "eval_precision": per_query(("precision@10", "p@5")) + plain,
         "eval_recall": per_query(("recall@10", "recall@100", "recall")) + plain,
