@@ -241,7 +241,7 @@ def _candidates(sets: DataFrame, tokens: np.ndarray, shares: np.ndarray, n: int,
     rows = sets.select("rep", "toks", F.lit(None).cast("bigint").alias("node"), F.lit(n).alias("size")).mapInPandas(_paths(tokens, shares, BRANCH, most, runs, LEVELS, begin), _LEAF)
     ready, rest = [], None
     for turn in range(ROUNDS + 1):
-        leaves = keep(rows.distinct().withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("size > 1"), "leaves")
+        leaves = keep(rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("size > 1"), "leaves")
         ready.append(leaves.where(F.col("size") <= BUCKET))
         rest = leaves.where(F.col("size") > BUCKET)
         if turn == ROUNDS or rest.isEmpty():
