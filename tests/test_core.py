@@ -299,3 +299,37 @@ def test_datasets_are_deleted_and_ingested_again(spark, tmp_path):
     assert not built.exists("a/x", "index") and spark.read.parquet(tables["documents"]).count() == 3
     assert artifacts.delete_dataset(spark, tables, "a/x", built) == {"documents": 2, "artifacts": 0}
     assert spark.read.parquet(tables["documents"]).count() == 1 and not artifacts.complete(built, "a/x")
+
+
+def test_best_hits_made_by_document_are_those_of_all_scores(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))]) for i in range(300)] + [(None, ["a", "b"]), (0x7FFFFFFFFFFFFF01, ["c"])]
+    index = ix.kept_index(spark.createDataFrame(rows, "doc_id bigint, tokens array<string>"))
+    terms = spark.createDataFrame([("1", "a", 1), ("1", "c", 2), ("2", "b", 1), ("3", "h", 1), ("4", "zz", 1)], "query_id string, term string, qtf long")
+    grid = [(0.9, 0.4), (1.5, 0.75)]
+    every = lexical.bm25_scores(index, terms, params=spark.createDataFrame(grid, "k1 double, b double")).withColumn("score", F.round("score", 6)).toPandas()
+    every["doc"] = [-1 if x != x or x is None else int(x) for x in every["doc_id"]]
+    kinds = spark.createDataFrame([(i, f"k{i % 3}") for i in range(300)], "doc_id bigint, kind string")
+    allowed = spark.createDataFrame([("1", "k0"), ("1", "k1"), ("2", "k2")], "query_id string, kind string")
+    space = {"1": {0, 1}, "2": {2}}
+    for inside, options in ((lambda q, i: True, {}), (lambda q, i: q not in space or 0 <= i < 300 and i % 3 in space[q], {"kinds": kinds, "allowed": allowed})):
+        want = set()
+        for (q, k1, b), part in every.groupby(["query_id", "k1", "b"]):
+            part = sorted((-s, i) for s, i in zip(part["score"], part["doc"]) if inside(q, i))
+            want |= {(q, k1, b, i, -s, r + 1) for r, (s, i) in enumerate(part[:7])}
+        got = lexical.bm25_top(index, terms, 7, grid, **options).collect()
+        assert {(r.query_id, r.k1, r.b, -1 if r.doc_id is None else r.doc_id, r.score, r["rank"]) for r in got} == want and len(got) == len(want) > 30
+    assert lexical.bm25_top(index, terms.where("term = 'zz'"), 7).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bm25_sweep"])
+def test_rankings_make_no_row_for_each_query_and_document(spark, monkeypatch, name):
+    from corvane.plans import queries
+
+    def all_pairs(*a, **k):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(lexical, "bm25_scores", all_pairs)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
