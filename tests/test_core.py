@@ -333,3 +333,20 @@ def test_rankings_make_no_row_for_each_query_and_document(spark, monkeypatch, na
 
     monkeypatch.setattr(lexical, "bm25_scores", all_pairs)
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_pruning_compares_kinds_of_documents(spark, tmp_path, monkeypatch):
+    from corvane.operators import fusion
+    from corvane.plans import ranking
+
+    docs = [(1, "a", "en"), (2, "a", "de"), (3, "b", "en"), (4, None, "fr"), (5, "c", None), (6, "c", "es"), (7, "d", "fr"), (8, None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("100",), ("200",), ("300",), ("401",)], "query_id string").write.parquet(f"{tmp_path}/queries.parquet")
+    judged = [("100", 1), ("100", 3), ("200", 4), ("200", 5), ("300", 8), ("300", 99), ("401", 1)]
+    spark.createDataFrame(judged, "query_id string, doc_id bigint").write.parquet(f"{tmp_path}/qrels.parquet")
+    compared = []
+    prune = fusion.prune
+    monkeypatch.setattr(fusion, "prune", lambda a, b, *key: compared.append(a.columns) or prune(a, b, *key))
+    got = sorted((r.query_id, r.doc_id) for r in ranking.prune_intersect(spark, str(tmp_path)).collect())
+    assert got == [("100", 1), ("100", 3)] + [("200", i) for i in (4, 5, 6, 7)]
+    assert compared == [["query_id", "kind"]]
