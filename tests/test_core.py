@@ -324,7 +324,7 @@ def test_best_hits_made_by_document_are_those_of_all_scores(spark):
     assert lexical.bm25_top(index, terms.where("term = 'zz'"), 7).count() == 0
 
 
-@pytest.mark.parametrize("name", ["bm25_sweep", "sweep_pivot"])
+@pytest.mark.parametrize("name", ["bm25_sweep", "sweep_pivot", "pruned_bm25"])
 def test_rankings_make_no_row_for_each_query_and_document(spark, monkeypatch, name):
     from corvane.plans import queries
 
