@@ -1,6 +1,6 @@
 """Subject areas of documents: bisecting k-means leaves, labelled by discriminative terms, mixed per document.
 
-The tree is fitted on a bounded sample of passages; every document is then placed in it, and each leaf's term distribution is counted over all
+The tree is fitted on all passages; every document is then placed in it, and each leaf's term distribution is counted over all
 documents. A leaf is named by its discriminative terms: by the subject whose labelled documents hold them most. Labels do nothing else. A document
 is a mixture of leaves: the weights of the leaves whose term distributions explain its words best (by expectation maximisation), and
 the weights of the leaves of a subject add up to the subject's share.
@@ -24,10 +24,10 @@ from corvane.runtime import keep, rows_of
 #: Terms that become dimensions are in less than COMMON of the documents of each language and in at least RARE of all: at
 #: most 1/RARE x mean size of a document of them.
 COMMON, RARE = 0.08, 0.0004
-#: Leaves of the tree, passes over the sample for each split, and terms that name a leaf.
+#: Leaves of the tree, passes over the passages for each split, and terms that name a leaf.
 LEAVES, PASSES, NAMED = 200, 6, 40
-#: Passages the tree is fitted on, a sample by a hash of the id, and the words a passage has at least.
-FIT, PASSAGE = 20_000, 30
+#: Words a passage has at least.
+PASSAGE = 30
 #: A leaf is named when at least this part of its discriminative terms' weight speaks for one subject.
 CLEAR = 0.4
 #: Steps of the estimation of a mixture, and documents estimated at once.
@@ -74,20 +74,18 @@ def encoded(found: DataFrame, terms: list[str]) -> DataFrame:
     return found.select("doc_id", "words").mapInPandas(run, "doc_id bigint, n int, ids array<int>, counts array<int>")
 
 
-def fit_leaves(found: DataFrame, vocab: list[str], leaves: int = LEAVES, fit: int = FIT, seed: int = 7) -> np.ndarray:
-    """Centres (leaf x term, unit length, inverse document frequency included) of a bisecting k-means tree of at most ``fit`` passages.
+def fit_leaves(found: DataFrame, vocab: list[str], leaves: int = LEAVES, seed: int = 7) -> np.ndarray:
+    """Centres (leaf x term, unit length, inverse document frequency included) of a bisecting k-means tree of all passages.
 
     Vectors are binary, weighted by inverse document frequency and of length one. Texts under PASSAGE words say too
     little to shape the tree; without any passage the short texts shape it.
     """
     passages = found.where(F.size("words") >= PASSAGE)
-    n = passages.count()
-    if not n:
-        passages, n = found, found.count()
-    sample = passages.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, fit / max(n, 1)) * (1 << 20))).select("words")
-    counted = CountVectorizerModel.from_vocabulary(vocab, "words", "counts").setBinary(True).transform(sample).select("counts")
+    if passages.isEmpty():
+        passages = found
+    counted = CountVectorizerModel.from_vocabulary(vocab, "words", "counts").setBinary(True).transform(passages.select("words")).select("counts")
     idf = IDF(inputCol="counts", outputCol="weights").fit(counted)
-    unit = keep(Normalizer(inputCol="weights", outputCol="features").transform(idf.transform(counted)).select("features"), "sample").persist()
+    unit = keep(Normalizer(inputCol="weights", outputCol="features").transform(idf.transform(counted)).select("features"), "passages").persist()
     try:
         model = BisectingKMeans(k=leaves, maxIter=PASSES, seed=seed, minDivisibleClusterSize=8.0).fit(unit)
     finally:

@@ -372,3 +372,17 @@ def test_leaves_that_tell_nothing_give_no_subject(spark):
     got = {(r.doc_id, r.subject): round(r.share, 2) for r in subjects.mixtures(vectors, told, size, owner, ["food", "law"]).collect()}
     assert got == {(1, "food"): 1.0, (2, "law"): 1.0}
     assert subjects.mixtures(vectors, np.full((3, 3), 5.0), size, owner, ["food", "law"]).count() == 0
+
+
+def test_the_tree_is_fitted_on_every_passage(spark, monkeypatch):
+    fitted = []
+
+    class Fit(subjects.BisectingKMeans):
+        def fit(self, rows):
+            fitted.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(subjects, "BisectingKMeans", Fit)
+    found = spark.range(20_500).select("id", F.array_repeat(F.concat(F.lit("w"), F.col("id") % 7), 30).alias("words")).withColumnRenamed("id", "doc_id")
+    assert len(subjects.fit_leaves(found, [f"w{i}" for i in range(7)], leaves=3)) >= 2
+    assert fitted == [20_500]
