@@ -350,3 +350,15 @@ def test_pruning_compares_kinds_of_documents(spark, tmp_path, monkeypatch):
     got = sorted((r.query_id, r.doc_id) for r in ranking.prune_intersect(spark, str(tmp_path)).collect())
     assert got == [("100", 1), ("100", 3)] + [("200", i) for i in (4, 5, 6, 7)]
     assert compared == [["query_id", "kind"]]
+
+
+def test_word_vectors_are_fitted_by_all_cores(spark, monkeypatch):
+    from corvane.operators import groups
+
+    asked = {}
+    real = groups.Word2Vec
+    monkeypatch.setattr(groups, "Word2Vec", lambda **k: asked.update(k) or real(**k))
+    tokens = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(40)], "doc_id bigint, tokens array<string>")
+    model = groups.fit_word_vectors(tokens, size=4, iterations=1)
+    assert asked["numPartitions"] == spark.sparkContext.defaultParallelism > 1
+    assert groups.word_vector_documents(model, tokens).count() == 40
