@@ -6,9 +6,8 @@ frequency, but not less than HOT of the largest possible one for a term that rec
 stays as telling as what few are about. No term is left out by a rule. The *telling* terms of a record are the heaviest ones that hold MASS of its squared weight. Records whose
 telling terms are the same, and nearly all they have, are one node, so copies and a thing treated in very many records stay few nodes.
 
-Two nodes are linked by the cosine of their telling terms. Candidates meet on a term; a term held by more than PIVOTS nodes
-links every one of its nodes to its PIVOTS purest ones (those with the largest part of their weight on it), so no node is left out and
-the work is linear in the nodes of a common term; large terms are salted.
+Two nodes are linked by the cosine of their telling terms. All nodes of a term meet, block by block; telling terms are rare, and records with
+the same ones are one node, so these pairs stay few, though their number is quadratic in the nodes of a term.
 
 Markov clustering alternates squaring of the flow matrix (columns packed in arrays; a join and a sum), inflation and pruning
 of small entries until the flow no longer changes; attractor rows define the clusters. Clusters are then nodes of a smaller
@@ -37,19 +36,19 @@ LINK, JOIN = 0.15, 0.55
 HOT = 0.8
 #: Terms lighter than this part of the heaviest possible term only add to the length of a vector.
 FAINT = 0.01
-#: Nodes that all nodes of a term are compared with, and pairs of such a node and a task's share of a term's nodes.
-PIVOTS, SALT = 64, 4096
 #: Terms in more than 1/FREQUENT of all records are broadcast: at most FREQUENT x mean size of a record.
 FREQUENT = 512
 #: Inflation, smallest flow kept (so at most 1/PRUNE entries to a column), smallest mean change that counts, and a guard of the rounds.
 INFLATION, PRUNE, STILL, ROUNDS = 1.6, 2e-3, 1e-3, 40
+#: None: all nodes of a term are compared. A number: only with so many, and pairs of such a node and a task's share of a term's nodes.
+PIVOTS, SALT = None, 4096
 #: Flow that attractors of one system hold of one another.
 SYSTEM = 0.1
 #: Columns that are more than 1/HUBS of all entries are broadcast in the squaring: at most HUBS columns of at most 1/PRUNE entries.
 HUBS = 1024
 #: Passes of clustering clusters.
 LEVELS = 4
-#: Members of a block: larger clusters are paired block by block, so that no task has more than the square of it to a key.
+#: Members of a block: larger clusters, and the nodes of commoner terms, are paired block by block, so that no task has more than the square of it to a key.
 BLOCK = 256
 
 _TOKENS = re.compile('[A-Za-z0-9]+|[.:?!;"“”„»«\n\r]')
@@ -133,6 +132,19 @@ def nodes_of(vector: DataFrame) -> DataFrame:
 def similarity(nodes: DataFrame, link: float) -> DataFrame:
     """(i, j, s), i < j: the cosine of nodes (node, terms), if at least ``link``. One shuffle by term, one by pair."""
     post = keep(nodes.select("node", F.inline("terms")).select("term", "node", "x"), "postings")
+    if PIVOTS is not None:
+        return _by_pivots(post, link)
+    sizes = post.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    sized = post.join(sizes, "term")
+    own, every = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = sized.select("term", own.alias("block_a"), every.alias("block_b"), F.col("node").alias("i"), F.col("x").alias("xi"))
+    b = sized.select("term", every.alias("block_a"), own.alias("block_b"), F.col("node").alias("j"), F.col("x").alias("xj"))
+    pairs = a.join(b, ["term", "block_a", "block_b"]).where("i < j").select("i", "j", (F.col("xi") * F.col("xj")).alias("c"))
+    return pairs.groupBy("i", "j").agg(F.sum("c").alias("s")).where(F.col("s") >= link).withColumn("s", F.least("s", F.lit(1.0)))
+
+
+def _by_pivots(post: DataFrame, link: float) -> DataFrame:
+    """As :func:`similarity`, but each node of a term meets only the term's PIVOTS purest ones: an approximation, used only where PIVOTS is set."""
     sizes = post.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     order = Window.partitionBy("term").orderBy(F.desc("x"), "node")
     pivots = post.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS)

@@ -386,3 +386,10 @@ def test_the_tree_is_fitted_on_every_passage(spark, monkeypatch):
     found = spark.range(20_500).select("id", F.array_repeat(F.concat(F.lit("w"), F.col("id") % 7), 30).alias("words")).withColumnRenamed("id", "doc_id")
     assert len(subjects.fit_leaves(found, [f"w{i}" for i in range(7)], leaves=3)) >= 2
     assert fitted == [20_500]
+
+
+def test_every_two_nodes_of_a_common_term_are_compared(spark):
+    nodes = spark.range(300).select(F.col("id").alias("node"), F.array(F.struct(F.lit(1).cast("long").alias("term"), (0.6 + F.col("id") * 0.001).alias("x"))).alias("terms"))
+    got = {(r.i, r.j): r.s for r in clusters.similarity(nodes, 0.15).collect()}
+    assert set(got) == {(i, j) for i in range(300) for j in range(i + 1, 300)}
+    assert got[3, 290] == pytest.approx(0.603 * 0.89)
