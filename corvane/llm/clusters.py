@@ -3,10 +3,11 @@
 The nodes of the graph are records. A record is a vector of its terms: ``(1 + ln tf) x rarity^POWER x naming``, where *naming*
 is the part of a term's occurrences that are written with a capital inside a sentence, counted over all records, and *rarity* is the inverse document
 frequency, but not less than HOT of the largest possible one for a term that records which hold it repeat: what very many records are about
-stays as telling as what few are about. No term is left out by a rule. The *telling* terms of a record are the heaviest ones that hold MASS of its squared weight. Records whose
+stays as telling as what few are about. No term is left out by a rule; a rare term that is a commoner one with a slip of the pen counts as that one. The *telling* terms of a record are the heaviest ones that hold MASS of its squared weight. Records whose
 telling terms are the same, and nearly all they have, are one node, so copies and a thing treated in very many records stay few nodes.
 
-Two nodes are linked by the cosine of their telling terms. All nodes of a term meet, block by block; telling terms are rare, and records with
+Two nodes are linked by the cosine of their telling terms, less as far as their subject areas differ, where these are given: different things may share a
+name. All nodes of a term meet, block by block; telling terms are rare, and records with
 the same ones are one node, so these pairs stay few, though their number is quadratic in the nodes of a term.
 
 Markov clustering alternates squaring of the flow matrix (columns packed in arrays; a join and a sum), inflation and pruning
@@ -36,6 +37,10 @@ LINK, JOIN = 0.15, 0.55
 HOT = 0.8
 #: Terms lighter than this part of the heaviest possible term only add to the length of a vector.
 FAINT = 0.01
+#: A term is misspelt if a term of so many times its records differs by a slip; letters of a term that can be misspelt.
+SURER, SPELT = 3, 5
+#: What is left of a link between records of different areas, and the part in common that is enough for all of it.
+APART, ENOUGH = 0.2, 0.5
 #: Terms in more than 1/FREQUENT of all records are broadcast: at most FREQUENT x mean size of a record.
 FREQUENT = 512
 #: Inflation, smallest flow kept (so at most 1/PRUNE entries to a column), smallest mean change that counts, and a guard of the rounds.
@@ -79,6 +84,34 @@ def read_documents(docs: DataFrame) -> DataFrame:
     return read(docs, ["doc_id"], _counted, "doc_id bigint, terms array<string>, tf array<int>, inside array<int>").dropDuplicates(["doc_id"])
 
 
+def misspelt(stats: DataFrame) -> DataFrame:
+    """(term, meant) of (term, df): rare terms that are a commoner one with a letter left out or doubled, or with two neighbouring letters swapped.
+
+    A term counts as misspelt if exactly one term, held by at least SURER times as many records, becomes it by such a slip. One letter written for another
+    is no slip here: invented names often differ in one letter. Each term meets the slips of others by equality, so the work is linear in the terms.
+    """
+    long = stats.where(F.length("term") >= SPELT).select("term", "df")
+    places = F.sequence(F.lit(1), F.length("term"))
+    without = F.expr("concat(substring(term, 1, k - 1), substring(term, k + 1))")
+    at = long.select("term", "df", F.explode(places).alias("k"))
+    same = F.expr("k > 1 and substring(term, k, 1) = substring(term, k - 1, 1)")
+    left_out = at.where(F.col("df") >= SURER).select(F.col("term").alias("meant"), F.col("df").alias("often"), without.alias("key")).distinct()
+    doubled = at.where(same).select("term", "df", without.alias("meant"))
+    swapped = at.where(F.expr("k > 1") & ~same).select("term", "df", F.expr("concat(substring(term, 1, k - 2), substring(term, k, 1), substring(term, k - 1, 1), substring(term, k + 1))").alias("meant"))
+    known = long.where(F.col("df") >= SURER).select(F.col("term").alias("meant"), F.col("df").alias("often"))
+    slips = long.join(left_out, F.col("term") == F.col("key")).select("term", "df", "meant", "often").unionByName(doubled.unionByName(swapped).join(known, "meant").select("term", "df", "meant", "often"))
+    surer = slips.where(F.col("often") >= SURER * F.col("df")).groupBy("term").agg(F.min("meant").alias("meant"), F.max("meant").alias("other"))
+    return surer.where("meant = other").select("term", "meant")
+
+
+def respelt(found: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, inside) of :func:`read_documents`, misspelt terms counted as the terms that are meant."""
+    rows = found.select("doc_id", F.inline(F.arrays_zip("terms", "tf", "inside"))).withColumnRenamed("terms", "term")
+    slips = keep(misspelt(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "slips")
+    meant = rows.join(slips, "term", "left").select("doc_id", F.coalesce("meant", "term").alias("term"), "tf", "inside")
+    return meant.groupBy("doc_id", "term").agg(F.sum("tf").cast("int").alias("tf"), F.sum("inside").cast("int").alias("inside"))
+
+
 def term_weights(rows: DataFrame, n: int) -> DataFrame:
     """(term, df, w) of (doc_id, term, tf, inside)."""
     stats = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum("inside").alias("inside"))
@@ -92,7 +125,7 @@ def vectors(found: DataFrame) -> DataFrame:
     """(doc_id, terms array of (term, x)): the telling terms that other records hold as well, with their part x of the length of
     the record's vector, heaviest first. Each record of :func:`read_documents` has a row."""
     n = found.count()
-    rows = found.select("doc_id", F.inline(F.arrays_zip("terms", "tf", "inside"))).withColumnRenamed("terms", "term")
+    rows = keep(respelt(found), "respelt")
     weights = keep(term_weights(rows, n), "weights")
     top = float(np.log(n + 1.0) ** POWER)
     often = weights.where(F.col("df") * FREQUENT > n)
@@ -118,15 +151,16 @@ def _telling(ordered, whole):
 
 
 def nodes_of(vector: DataFrame) -> DataFrame:
-    """(doc_id, node, terms): records with the same telling terms are one node, named by the smallest id, if these hold SAME
-    of the squared length of each; its vector is that of the smallest id."""
+    """(doc_id, node, terms, areas) of (doc_id, terms, areas): records with the same telling terms and the same largest area are one node, named by the
+    smallest id, if the terms hold SAME of the squared length of each; its vector and areas are those of the smallest id."""
     mass = F.aggregate("terms", F.lit(0.0), lambda a, e: a + e["x"] * e["x"])
     names = F.array_sort(F.transform("terms", lambda e: e["term"]))
     alone = F.when((mass < SAME) | (F.size("terms") == 0), F.col("doc_id"))
-    key = F.struct(F.xxhash64(names), F.hash(names), alone.alias("alone"))
-    keyed = vector.select("doc_id", "terms", key.alias("key"))
-    first = keyed.groupBy("key").agg(F.min_by("terms", "doc_id").alias("terms"), F.min("doc_id").alias("node"))
-    return keyed.select("doc_id", "key").join(first, "key").select("doc_id", "node", "terms")
+    largest = F.array_max(F.transform(F.map_entries("areas"), lambda e: F.struct(e["value"].alias("share"), e["key"].alias("area"))))["area"]
+    key = F.struct(F.xxhash64(names), F.hash(names), alone.alias("alone"), largest.alias("area"))
+    keyed = vector.select("doc_id", "terms", "areas", key.alias("key"))
+    first = keyed.groupBy("key").agg(F.min_by("terms", "doc_id").alias("terms"), F.min_by("areas", "doc_id").alias("areas"), F.min("doc_id").alias("node"))
+    return keyed.select("doc_id", "key").join(first, "key").select("doc_id", "node", "terms", "areas")
 
 
 def similarity(nodes: DataFrame, link: float) -> DataFrame:
@@ -161,6 +195,18 @@ def _by_pivots(post: DataFrame, link: float) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.sum("c").alias("s")).where(F.col("s") >= link).withColumn("s", F.least("s", F.lit(1.0)))
 
 
+def told_apart(edges: DataFrame, areas: DataFrame, link: float) -> DataFrame:
+    """Links (i, j, s) weakened to APART of their strength as far as the areas of their nodes differ, if still at least ``link``.
+
+    ``areas`` (node, areas) has the share of each area as a map, null where nothing is known, which weakens nothing. Half of a
+    record in common is enough for a link to keep all its strength: a record may treat its thing beside another subject.
+    """
+    one, other = (areas.where("areas is not null").select(F.col("node").alias(k), F.col("areas").alias(f"a{k}")) for k in "ij")
+    shared = F.aggregate(F.map_entries("ai"), F.lit(0.0), lambda a, e: a + F.least(e["value"], F.coalesce(F.element_at("aj", e["key"]), F.lit(0.0))))
+    agreed = F.coalesce(F.least(F.lit(1.0), shared / ENOUGH), F.lit(1.0))
+    return edges.join(one, "i", "left").join(other, "j", "left").select("i", "j", (F.col("s") * (APART + (1 - APART) * agreed)).alias("s")).where(F.col("s") >= link)
+
+
 def _columns(entries: DataFrame, inflation: float, prune: float) -> DataFrame:
     """(j, e, change) of (i, j, v): packed columns, inflated, scaled to one, entries under ``prune`` left out (never the largest), scaled again.
 
@@ -220,38 +266,47 @@ def markov_clusters(first: DataFrame, inflation: float = INFLATION, prune: float
 
 
 def _joined(members: DataFrame) -> DataFrame | None:
-    """(old, cluster) for clusters that join others: Markov clustering of clusters (node, cluster, terms, size), whose vectors are the means of their nodes."""
+    """(old, cluster) for clusters that join others: Markov clustering of clusters (node, cluster, terms, areas, size), whose vectors and areas are the
+    means of their nodes."""
     sizes = members.groupBy("cluster").agg(F.sum("size").alias("all"))
     rows = members.select("cluster", "size", F.inline("terms")).groupBy("cluster", "term").agg(F.sum(F.col("x") * F.col("size")).alias("x"))
     mean = rows.join(sizes, "cluster").select("cluster", "term", (F.col("x") / F.col("all")).alias("x"))
     packed = mean.groupBy("cluster").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sort_array(F.collect_list(F.struct((-F.col("x")).alias("x"), "term"))).alias("t"))
     unit = packed.select("cluster", F.transform("t", lambda e: F.struct(e["term"].alias("term"), (-e["x"] / F.col("norm")).alias("x"))).alias("t"))
     nodes = keep(unit.select(F.col("cluster").alias("node"), _telling(F.col("t"), F.lit(1.0)).alias("terms")), "means")
-    edges = keep(similarity(nodes, JOIN), "links")
+    areas = members.where("areas is not null").select("cluster", "size", F.explode("areas").alias("area", "share")).groupBy("cluster", "area").agg(F.sum(F.col("share") * F.col("size")).alias("share"))
+    areas = areas.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("area", "share"))).alias("areas"), F.sum("share").alias("all"))
+    areas = areas.select(F.col("cluster").alias("node"), F.transform_values("areas", lambda _, v: v / F.col("all")).alias("areas"))
+    edges = keep(told_apart(similarity(nodes, JOIN), areas, JOIN), "links")
     if edges.isEmpty():
         return None
     return markov_clusters(first_flow(edges)).where("node != cluster").withColumnRenamed("node", "old")
 
 
-def thing_clusters(docs: DataFrame) -> DataFrame:
+def thing_clusters(docs: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     """(doc_id, cluster, strength): the cluster of each record that has a term, named after an attractor, and the flow that enters the
-    record from its cluster.
+    record from its cluster. ``areas`` (doc_id, subject, share), as of :func:`corvane.llm.subjects.subject_mixtures`, tell different things of one name apart.
 
     Null ids, null texts and texts without a term have no row; repeated rows of a document count once. A record that resembles no
     other is a cluster of its own, of strength 1.
     """
     found = keep(read_documents(docs), "words")
-    nodes = keep(nodes_of(vectors(found)), "nodes")
-    unique = keep(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("terms", "doc_id").alias("terms")), "unique")
-    edges = keep(similarity(unique.select("node", "terms"), LINK), "links")
+    if areas is None:
+        vector = vectors(found).withColumn("areas", F.lit(None).cast("map<string,double>"))
+    else:
+        packed = areas.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("subject", "share"))).alias("areas"))
+        vector = vectors(found).join(packed, "doc_id", "left")
+    nodes = keep(nodes_of(vector), "nodes")
+    unique = keep(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("terms", "doc_id").alias("terms"), F.min_by("areas", "doc_id").alias("areas")), "unique")
+    edges = keep(told_apart(similarity(unique.select("node", "terms"), LINK), unique, LINK), "links")
     first = first_flow(edges)
-    placed = unique.join(markov_clusters(first), "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), "size", "terms")
+    placed = unique.join(markov_clusters(first), "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), "size", "terms", "areas")
     placed = keep(placed, "placed")
     for _ in range(LEVELS):
         to = _joined(placed)
         if to is None or to.isEmpty():
             break
-        placed = keep(placed.join(to.withColumnRenamed("cluster", "next"), placed["cluster"] == to["old"], "left").select("node", F.coalesce("next", "cluster").alias("cluster"), "size", "terms"), "placed")
+        placed = keep(placed.join(to.withColumnRenamed("cluster", "next"), placed["cluster"] == to["old"], "left").select("node", F.coalesce("next", "cluster").alias("cluster"), "size", "terms", "areas"), "placed")
     into = first.select("j", F.inline("e")).join(placed.select(F.col("node").alias("j"), F.col("cluster").alias("cj")), "j")
     into = into.join(placed.select(F.col("node").alias("i"), F.col("cluster").alias("ci")), "i").where("ci = cj")
     strength = into.groupBy(F.col("i").alias("node")).agg(F.round(F.sum("v"), 6).alias("strength"))

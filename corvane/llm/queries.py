@@ -59,16 +59,16 @@ def p4_found(spark, d):
 
 def p6_clusters(spark, d):
     """Every cluster with its size, top terms and typical members."""
-    docs = table(spark, d, "documents")
-    return clusters.describe_clusters(keep(clusters.thing_clusters(docs), "members"), docs)
+    return clusters.describe_clusters(keep(p6_members(spark, d), "members"), table(spark, d, "documents"))
 
 
 def p6_members(spark, d):
-    return clusters.thing_clusters(table(spark, d, "documents"))
+    areas = keep(subjects.subject_mixtures(*_areas(spark, d))[0], "areas")
+    return clusters.thing_clusters(table(spark, d, "documents"), areas)
 
 
 def p6_found(spark, d):
-    return clusters.cluster_pairs(keep(clusters.thing_clusters(table(spark, d, "documents")), "members"))
+    return clusters.cluster_pairs(keep(p6_members(spark, d), "members"))
 
 
 def p7_ids(spark, d):

@@ -393,3 +393,25 @@ def test_every_two_nodes_of_a_common_term_are_compared(spark):
     got = {(r.i, r.j): r.s for r in clusters.similarity(nodes, 0.15).collect()}
     assert set(got) == {(i, j) for i in range(300) for j in range(i + 1, 300)}
     assert got[3, 290] == pytest.approx(0.603 * 0.89)
+
+
+def test_a_slip_of_the_pen_is_the_name_that_is_meant(spark):
+    terms = [("kolupaft", 9), ("kolupfat", 1), ("kolupaaft", 2), ("koluaft", 3), ("kolupift", 1), ("kolupoft", 5), ("molupift", 1), ("koluppaft", 4), ("ab", 9), ("aab", 1), ("zimelard", 3), ("zimelards", 3), ("zimelad", 1), ("zimmelards", 1)]
+    got = {r.term: r.meant for r in clusters.misspelt(spark.createDataFrame(terms, "term string, df bigint")).collect()}
+    assert got == {"kolupfat": "kolupaft", "kolupaaft": "kolupaft", "koluaft": "kolupaft", "zimelad": "zimelard", "zimmelards": "zimelards"}
+    rows = [(i, f"Visitors to the Kolupaft bridge near Dodunor admire stone number {i}.") for i in range(6)] + [(6, "nothing named here, only the Kolupfat words"), (7, "only the Koolupaft words, nothing named here")]
+    rows += [(100 + i, f"nothing named here, only the words w{i} and v{i}") for i in range(80)]
+    members = {r.doc_id: r.cluster for r in clusters.thing_clusters(docs_of(spark, rows)).collect()}
+    assert len({members[i] for i in range(8)}) == 1 and len(set(members.values())) == 81
+
+
+def test_two_things_of_one_name_are_told_apart_by_their_areas(spark):
+    rows = [(i, f"Clients of the Kolupaft bank praise Kolupaft for rate number {i}.") for i in range(6)]
+    rows += [(10 + i, f"Otters of the Kolupaft river swim through Kolupaft at hour number {i}.") for i in range(6)]
+    rows += [(20, "Who owns Kolupaft?"), (21, "Who swims at Kolupaft?"), (22, "Old Kolupaft, praised by clients and by anglers.")]
+    rows += [(100 + i, f"nothing named here, only the words w{i} and v{i}") for i in range(80)]
+    areas = [(i, "finance", 1.0) for i in [*range(6), 20]] + [(i, "nature", 1.0) for i in [*range(10, 16), 21]] + [(22, "finance", 0.6), (22, "music", 0.4)]
+    areas = spark.createDataFrame(areas, "doc_id bigint, subject string, share double")
+    members = {r.doc_id: r.cluster for r in clusters.thing_clusters(docs_of(spark, rows), areas).collect()}
+    assert len({members[i] for i in [*range(6), 20, 22]}) == 1 and len({members[i] for i in [*range(10, 16), 21]}) == 1
+    assert members[0] != members[10]
